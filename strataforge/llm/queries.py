@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, neighbours, packing, pieces
+from . import leakage, near_copies, neighbours, packing, page_identity, pieces
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d, True).groupBy("src", "item_id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
 
 
+#: The data's own terms: three words a shingle, 0.6, at least 20 words.
+CHUNK_COPIES = near_copies.CopyParams(shingle=3, similarity=0.6, least_words=20)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = near_copies.near_copies(table(spark, d, "chunks"), "id", "content", CHUNK_COPIES)
+    chunk = near_copies.expand_pairs(members, links)
+    url = page_identity.same_page_hits(table(spark, d, "search_results"), "hit_id", "query_id", "url")
+    return chunk.select(F.lit("chunk").alias("src"), "*").unionByName(url.select(F.lit("url").alias("src"), "*"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.groups(*near_copies.near_copies(table(spark, d, "chunks"), "id", "content", CHUNK_COPIES))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_windows(table(spark, d, "documents"), table(spark, d, "context_windows"), "doc_id", "text")
 
@@ -55,7 +70,7 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p6_packed, p6_utilisation, p7_found, p7_near)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p4_found, p4_groups, p6_packed, p6_utilisation, p7_found, p7_near)}
 
 
 def oracle_sql() -> dict[str, str]:
