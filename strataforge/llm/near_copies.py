@@ -38,6 +38,9 @@ class CopyParams:
     per_band: float = 5.0
     least_bits: int = 2  # cells of fewer bits would hold unrelated texts
     band_segments: int = 256
+    entries_per_part: int = 1_500_000  # cell entries sorted together in one task
+    hot_cell: int = 3_000  # texts in one cell beyond which its pairs are made by a shuffle join instead
+    broadcast_codes: int = 1_000_000  # texts with candidates whose codes are sent to every task; beyond it they are joined by shuffle
     seed: int = 23
 
 
@@ -61,26 +64,32 @@ def size_class(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / -math.log(similarity) + 1e-9).astype(np.int64)
 
 
-def cells(shingles: np.ndarray, level: int, p: CopyParams) -> np.ndarray:
-    """One key for each band with enough bits: the band's number and its segments' bit counts, hashed."""
+def cells(shingles: np.ndarray, owner: np.ndarray, texts: int, level: int, p: CopyParams) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) of every band with enough bits, of texts of one class: the band's number and its segments' bit counts, hashed.
+
+    `owner` numbers the text of each shingle. A sum of mixed segment numbers stands for a band's counts, so no counts are laid out.
+    """
     top = p.similarity ** -(level + 1)  # most bits of a text in this class
     slices = max(1, round(top / p.per_band))
-    turns = max(1, math.ceil(p.bands / slices))
-    out = []
-    for turn in range(turns):
+    owners, keys = [], []
+    for turn in range(max(1, math.ceil(p.bands / slices))):
         h = mix(shingles, p.seed + 7919 * turn)
-        band = ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-        segment = h & np.uint64(p.band_segments - 1)
-        used = band < np.uint64(p.bands - turn * slices) if (turn + 1) * slices > p.bands else np.ones(len(h), bool)
-        band, segment = band[used], segment[used]
-        # Counts of a band, order-free: a sum of mixed segment numbers determines the counts up to hash collisions.
-        n = np.bincount(band.astype(np.int64), minlength=slices)
-        total = np.zeros(slices, np.uint64)
+        band = (((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)
+        some = min(slices, p.bands - turn * slices)
+        who = owner
+        if some < slices:
+            used = band < some
+            h, band, who = h[used], band[used], owner[used]
+        at = who * some + band
+        n = np.bincount(at, minlength=texts * some)
+        total = np.zeros(texts * some, np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(total, band.astype(np.int64), mix(segment, 99))
-            key = mix(total + n.astype(np.uint64), 1000 * level + turn) ^ (np.arange(slices, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        out.append(key[n >= p.least_bits])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            np.add.at(total, at, mix(h & np.uint64(p.band_segments - 1), 99))
+            full = np.nonzero(n >= p.least_bits)[0]
+            key = mix(total[full] + n[full].astype(np.uint64), 1000 * level + turn) ^ mix((full % some).astype(np.uint64), 7)
+        owners.append(full // some)
+        keys.append(key)
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 def popcounts(shingles: np.ndarray, level: int, p: CopyParams) -> np.ndarray:
@@ -90,96 +99,174 @@ def popcounts(shingles: np.ndarray, level: int, p: CopyParams) -> np.ndarray:
     return np.minimum(np.bincount(where.astype(np.int64), minlength=m), 255).astype(np.uint8)
 
 
-def _fingerprints(it: Iterator[pd.DataFrame], p: CopyParams) -> Iterator[pd.DataFrame]:
+def _shingles(texts: list[str], hasher: Hasher, p: CopyParams) -> list[np.ndarray | None]:
+    """The shingle set of each text; None for those with too few words."""
+    out: list[np.ndarray | None] = []
+    for t in texts:
+        words = split_words(t, fold=False)
+        out.append(shingle_set(hasher(words), p.shingle) if len(words) >= p.least_words else None)
+    return out
+
+
+def _emit_cells(it: Iterator[pd.DataFrame], parts: int, p: CopyParams) -> Iterator[pd.DataFrame]:
+    """A record for each batch and part: codes of its texts, and of each entry the text's number (with the home flag) and 48 bits of the cell."""
     hasher = Hasher()
-    for pdf in it:
-        out = []
-        for item, text in zip(pdf["id"], pdf["text"], strict=True):
-            words = split_words(text, fold=False)
-            if len(words) >= p.least_words:
-                s = shingle_set(hasher(words), p.shingle)
-                out.append((item, len(s), int(mix(np.bitwise_xor.reduce(mix(s, 3)).reshape(1), 1)[0].astype(np.int64)), int((mix(s, 4).sum(dtype=np.uint64)).astype(np.int64)), s.tobytes()))
-        yield pd.DataFrame(out, columns=["id", "n", "c1", "c2", "shingles"]).astype({"n": "int32"})
-
-
-def _emit_cells(it: Iterator[pd.DataFrame], p: CopyParams) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        level = size_class(pdf["n"].to_numpy(), p.similarity)
-        keys, ids, home = [], [], []
-        for item, at, body in zip(pdf["id"], level, pdf["shingles"], strict=True):
-            s = np.frombuffer(body, np.uint64)
-            for up in (0, 1):  # as host of its own class and as guest of the next
-                k = cells(s, int(at) + up, p)
-                keys.append(k)
-                ids.append(np.full(len(k), item, np.int64))
-                home.append(np.full(len(k), up == 0))
-        if keys:
-            yield pd.DataFrame({"cell": np.concatenate(keys).astype(np.int64), "id": np.concatenate(ids), "home": np.concatenate(home)})
+    for whole in it:
+        for lo in range(0, len(whole), 16384):
+            pdf = whole.iloc[lo : lo + 16384].drop_duplicates("code")
+            kept = [(c, s) for c, s in zip(pdf["code"], _shingles(pdf["text"].tolist(), hasher, p), strict=True) if s is not None]
+            if not kept:
+                continue
+            codes = np.array([c for c, _ in kept], np.int64)
+            sizes = np.array([len(s) for _, s in kept])
+            flat, owner = np.concatenate([s for _, s in kept]), np.repeat(np.arange(len(kept)), sizes)
+            level = size_class(sizes, p.similarity)
+            who, cell = [], []
+            for c in np.unique(np.concatenate([level, level + 1])):
+                for home in (True, False):  # as host of its own class and as guest of the next
+                    inside = level == c - (not home)
+                    if inside.any():
+                        number = np.cumsum(inside) - 1
+                        on = inside[owner]
+                        o, k = cells(flat[on], number[owner[on]], int(inside.sum()), int(c), p)
+                        who.append(np.nonzero(inside)[0][o].astype(np.uint16) | np.uint16(home << 15))
+                        cell.append(k)
+            who, cell = np.concatenate(who), np.concatenate(cell)
+            part = (cell % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            who, cell, cut = who[order], cell[order] >> np.uint64(16), np.searchsorted(part[order], np.arange(parts + 1))
+            out = []
+            for i in range(parts):
+                w, k = who[cut[i] : cut[i + 1]], cell[cut[i] : cut[i + 1]]
+                if len(w):
+                    used, number = np.unique(w & np.uint16(0x7FFF), return_inverse=True)
+                    out.append((i, codes[used].tobytes(), (number.astype(np.uint16) | (w & np.uint16(0x8000))).tobytes(), k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes()))
+            yield pd.DataFrame(out, columns=["part", "codes", "who", "low", "high"]).astype({"part": "int32"})
+
+
+def _pairs_of_part(pdf: pd.DataFrame, p: CopyParams) -> pd.DataFrame:
+    """Distinct pairs of texts that share a cell; the members of hot cells as they are (kind 1)."""
+    code, home, cell = [], [], []
+    for codes, who, low, high in zip(pdf["codes"], pdf["who"], pdf["low"], pdf["high"], strict=True):
+        w = np.frombuffer(who, np.uint16)
+        code.append(np.frombuffer(codes, np.int64)[w & np.uint16(0x7FFF)])
+        home.append(w >> np.uint16(15))
+        cell.append(np.frombuffer(low, np.uint32).astype(np.int64) | (np.frombuffer(high, np.uint16).astype(np.int64) << 32))
+    code, home, cell = np.concatenate(code), np.concatenate(home).astype(bool), np.concatenate(cell)
+    order = np.lexsort((code, cell))
+    code, home, cell = code[order], home[order], cell[order]
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (cell[1:] != cell[:-1])  # a text may come from several batches
+    code, home, cell = code[fresh], home[fresh], cell[fresh]
+    size = np.diff(np.append(starts := np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1)), len(cell)))
+    run = np.repeat(size, size)
+    hot = run > p.hot_cell
+    out = [pd.DataFrame({"kind": 1, "a": cell[hot], "b": code[hot], "home": home[hot]})]
+    busy = np.nonzero((run > 1) & ~hot)[0]
+    last = np.repeat(starts + size, size)
+    found = np.zeros((0, 2), np.int64)
+    step = 1
+    while len(busy):
+        busy = busy[busy + step < last[busy]]
+        on = busy[home[busy] | home[busy + step]]
+        found = np.concatenate([found, np.stack([code[on], code[on + step]], axis=1)])
+        if len(found) > 4_000_000:
+            found = np.unique(found, axis=0)
+        step += 1
+    found = pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+    out.append(found.assign(kind=0, home=True)[["kind", "a", "b", "home"]])
+    return pd.concat(out).astype({"kind": "int32"})
 
 
 def near_copies(df: DataFrame, item_id: str, text: str, params: CopyParams = CopyParams()) -> tuple[DataFrame, DataFrame]:
-    """(members, links): every text's class of equal shingle sets, and similar classes.
+    """(members, links): every text's class of exact copies, and similar classes.
 
-    members (id, rep): one row an id; rep is the least id of its class. links (rep_a, rep_b, similarity), rep_a < rep_b: classes
-    whose Jaccard similarity is at least `params.similarity`, exact. Null texts and those with fewer than
-    `least_words` words are left out; texts shorter than a shingle use single words; re-delivered ids count once; other columns are
-    ignored; an empty table gives empty results. No link is dropped for the size of a cell: cells are joined by shuffle with
-    skew handling, and equal texts never meet there, since only class representatives do.
+    members (id, code): one row an id; `code` is the 64-bit hash of the text that names its class. links (code_a, code_b,
+    similarity), code_a < code_b: classes whose Jaccard similarity is at least `params.similarity`, computed exactly. Null texts and those
+    with fewer than `least_words` words have no links; those shorter than a shingle use single words; re-delivered ids count once;
+    other columns are ignored; an empty table gives empty results. Copies of a text meet only as one code, and no link is dropped for
+    the size of a cell: pairs of hot cells are made by a shuffle join with skew handling.
     """
     p = params
     raw = df.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    prints = raw.mapInPandas(lambda it: _fingerprints(it, p), "id bigint, n int, c1 bigint, c2 bigint, shingles binary")
-    codes = cut_lineage(prints.select("id", "n", "c1", "c2").dropDuplicates(["id"]))
-    least = codes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32))).groupBy("n", "c1", "c2", "salt").agg(F.min("id").alias("rep")).groupBy("n", "c1", "c2").agg(F.min("rep").alias("rep"))
-    members = codes.join(least, ["n", "c1", "c2"]).select("id", "rep")
-    reps = cut_lineage(prints.join(least.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "shingles"))
-    placed = reps.mapInPandas(lambda it: _emit_cells(it, p), "cell bigint, id bigint, home boolean")
-    a = placed.select("cell", F.col("id").alias("rep_a"), F.col("home").alias("home_a"))
-    b = placed.select("cell", F.col("id").alias("rep_b"), F.col("home").alias("home_b"))
-    pairs = a.join(b, "cell").where((F.col("rep_a") < F.col("rep_b")) & (F.col("home_a") | F.col("home_b"))).select("rep_a", "rep_b").distinct()
-    return members, _verified(pairs, reps, p)
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, p: CopyParams) -> DataFrame:
-    """Manhattan bound on the popcounts, then exact Jaccard similarity."""
+    coded = raw.select("id", F.xxhash64("text").alias("code"), "text")
+    members = cut_lineage(coded.select("id", "code").dropDuplicates(["id"]))
+    parts = max(1, math.ceil(members.count() * 2 * p.bands / p.entries_per_part))
+    blobs = coded.select("code", "text").mapInPandas(lambda it: _emit_cells(it, parts, p), "part int, codes binary, who binary, low binary, high binary")
+    found = cut_lineage(blobs.groupBy("part").applyInPandas(lambda pdf: _pairs_of_part(pdf, p), "kind int, a bigint, b bigint, home boolean"))
+    hot = found.where("kind = 1")
+    x, y = hot.alias("x"), hot.alias("y")
+    more = x.join(y, F.col("x.a") == F.col("y.a")).where((F.col("x.b") < F.col("y.b")) & (F.col("x.home") | F.col("y.home"))).select(F.col("x.b").alias("code_a"), F.col("y.b").alias("code_b"))
+    few = found.where("kind = 0").select(F.least("a", "b").alias("code_a"), F.greatest("a", "b").alias("code_b"))
+    return members, _verified(few.unionByName(more).distinct(), coded, p)
+
+
+def _verified(pairs: DataFrame, coded: DataFrame, p: CopyParams) -> DataFrame:
+    """Manhattan bound on the popcounts, then exact Jaccard similarity, over the texts that have a candidate."""
     t = p.similarity
+    pairs = cut_lineage(pairs)
+
+    def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for pdf in it:
+            sets = _shingles(pdf["text"].tolist(), hasher, p)
+            n = np.array([len(s) for s in sets], np.int32)
+            level = size_class(n, t)
+            # Counts for its own class and the next: a pair is compared in the larger text's class.
+            yield pd.DataFrame({"code": pdf["code"], "n": n, "own": [popcounts(s, int(c), p).tobytes() for s, c in zip(sets, level, strict=True)], "next": [popcounts(s, int(c) + 1, p).tobytes() for s, c in zip(sets, level, strict=True)], "shingles": [s.tobytes() for s in sets]})
+
+    ids = pairs.select(F.explode(F.array("code_a", "code_b")).alias("code")).distinct()
+    wanted = coded.join(F.broadcast(ids) if ids.count() <= p.broadcast_codes else ids, "code", "left_semi").dropDuplicates(["code"])
+    sets = cut_lineage(wanted.mapInPandas(measure, "code bigint, n int, own binary, next binary, shingles binary"))
 
     @F.pandas_udf("int")
-    def distance(na: pd.Series, nb: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        level = np.maximum(size_class(na.to_numpy(), t), size_class(nb.to_numpy(), t))
+    def distance(na: pd.Series, nb: pd.Series, a: pd.Series, a2: pd.Series, b: pd.Series, b2: pd.Series) -> pd.Series:
+        la, lb = size_class(na.to_numpy(), t), size_class(nb.to_numpy(), t)
         out = np.zeros(len(na), np.int32)
-        for i, (x, y, lv) in enumerate(zip(a, b, level, strict=True)):
-            u, v = popcounts(np.frombuffer(x, np.uint64), int(lv), p), popcounts(np.frombuffer(y, np.uint64), int(lv), p)
-            out[i] = np.abs(u.astype(np.int16) - v).sum()
+        for i in range(len(na)):
+            u, v = (a2[i] if la[i] < lb[i] else a[i]), (b2[i] if lb[i] < la[i] else b[i])
+            u, v = np.frombuffer(u, np.uint8).astype(np.int16), np.frombuffer(v, np.uint8)
+            out[i] = np.abs(u - v).sum() if len(u) == len(v) else 1 << 30  # further apart than one class
         return pd.Series(out)
 
     @F.pandas_udf("double")
     def jaccard(na: pd.Series, nb: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        both = np.array(both, np.int64)
+        both = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
         return pd.Series(both / np.maximum(na.to_numpy() + nb.to_numpy() - both, 1))
 
-    side = lambda s: reps.select(F.col("id").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}"))
+    def side(s: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("code").alias(f"code_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+
     most = (1 - t) / (1 + t) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    joined = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most)
-    kept = joined.where(distance("n_a", "n_b", "s_a", "s_b") <= most)
-    return kept.select("rep_a", "rep_b", jaccard("n_a", "n_b", "s_a", "s_b").alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+    counts = pairs.join(side("a", "n", "own", "next"), "code_a").join(side("b", "n", "own", "next"), "code_b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most)
+    near = counts.where(distance("n_a", "n_b", "own_a", "next_a", "own_b", "next_b") <= most).select("code_a", "code_b", "n_a", "n_b")
+    exact = near.join(side("a", "shingles"), "code_a").join(side("b", "shingles"), "code_b")
+    return exact.select("code_a", "code_b", jaccard("n_a", "n_b", "shingles_a", "shingles_b").alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+
+
+def expand_pairs(members: DataFrame, links: DataFrame, usable: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of ids, within classes whose code is in `usable` and across linked ones; as many rows as there are such pairs."""
+    m = members.select("code", "id")
+    same = m.join(usable.select("code"), "code", "left_semi")
+    own = same.alias("x").join(same.alias("y"), F.col("x.code") == F.col("y.code")).where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    left = links.join(m.select(F.col("code").alias("code_a"), F.col("id").alias("p")), "code_a").join(m.select(F.col("code").alias("code_b"), F.col("id").alias("q")), "code_b")
+    return own.unionByName(left.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")))
 
 
-def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of ids, within classes and across linked ones; as many rows as there are such pairs."""
-    m = members.select(F.col("rep").alias("rep"), "id")
-    same = m.alias("x").join(m.alias("y"), F.col("x.rep") == F.col("y.rep")).where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    left = links.join(m.select(F.col("rep").alias("rep_a"), F.col("id").alias("p")), "rep_a").join(m.select(F.col("rep").alias("rep_b"), F.col("id").alias("q")), "rep_b")
-    return same.unionByName(left.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")))
+def copied_codes(df: DataFrame, members: DataFrame, text: str, params: CopyParams) -> DataFrame:
+    """(code) of texts stored under several ids that have at least `least_words` words."""
+    many = members.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
+    body = df.select(F.xxhash64(F.col(text).cast("string")).alias("code"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)))
+    return body.join(many, "code", "left_semi").where(words >= params.least_words).select("code").distinct()
 
 
 def groups(members: DataFrame, links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, group_id, links): connected groups by the least id in them, and the number of classes linked to the id's own.
+    """(id, group_id, links): connected groups named by the least code in them, and the number of classes linked to the id's own.
 
-    Label propagation with pointer jumping over class representatives; every round is a shuffle join, its lineage cut.
+    Label propagation with pointer jumping over classes; every round is a shuffle join, its lineage cut.
     """
-    ends = links.select(F.explode(F.array(F.struct(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")), F.struct(F.col("rep_b").alias("u"), F.col("rep_a").alias("v")))).alias("e")).select("e.u", "e.v")
+    ends = links.select(F.explode(F.array(F.struct(F.col("code_a").alias("u"), F.col("code_b").alias("v")), F.struct(F.col("code_b").alias("u"), F.col("code_a").alias("v")))).alias("e")).select("e.u", "e.v")
     ends = cut_lineage(ends)
     degree = ends.groupBy("u").agg(F.count("*").alias("links"))
     label = cut_lineage(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("g")))
@@ -193,4 +280,4 @@ def groups(members: DataFrame, links: DataFrame, most_rounds: int = 40) -> DataF
             break
     else:
         raise RuntimeError(f"groups not settled after {most_rounds} rounds")
-    return members.join(label.select(F.col("u").alias("rep"), "g"), "rep", "left").join(degree.select(F.col("u").alias("rep"), "links"), "rep", "left").select("id", F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(label.select(F.col("u").alias("code"), "g"), "code", "left").join(degree.select(F.col("u").alias("code"), "links"), "code", "left").select("id", F.coalesce("g", "code").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

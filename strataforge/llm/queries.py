@@ -39,8 +39,9 @@ CHUNK_COPIES = near_copies.CopyParams(shingle=3, similarity=0.6, least_words=20)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    members, links = near_copies.near_copies(table(spark, d, "chunks"), "id", "content", CHUNK_COPIES)
-    chunk = near_copies.expand_pairs(members, links)
+    chunks = table(spark, d, "chunks")
+    members, links = near_copies.near_copies(chunks, "id", "content", CHUNK_COPIES)
+    chunk = near_copies.expand_pairs(members, links, near_copies.copied_codes(chunks, members, "content", CHUNK_COPIES))
     url = page_identity.same_page_hits(table(spark, d, "search_results"), "hit_id", "query_id", "url")
     return chunk.select(F.lit("chunk").alias("src"), "*").unionByName(url.select(F.lit("url").alias("src"), "*"))
 
