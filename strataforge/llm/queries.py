@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, near_copies, neighbours, packing, page_identity, pieces
+from . import language, leakage, near_copies, neighbours, packing, page_identity, pieces
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +70,16 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", ["prompt", "answer"], NEAR)
 
 
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabel(table(spark, d, "documents"), "doc_id", "text", "lang").drop("stated")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.corrections(language.relabel(table(spark, d, "documents"), "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p4_found, p4_groups, p6_packed, p6_utilisation, p7_found, p7_near)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p4_found, p4_groups, p6_packed, p6_utilisation, p7_found, p7_near, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
