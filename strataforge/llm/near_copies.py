@@ -15,7 +15,7 @@ classes whose bounds keep any qualifying pair together. Texts with equal shingle
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +36,11 @@ class CopyParams:
     least_words: int = 5
     bands: int = 64
     per_band: float = 5.0
-    least_bits: int = 2  # cells of fewer bits would hold unrelated texts
+    least_bits: int = 3  # cells of fewer bits would hold unrelated texts that share a stock phrase
     band_segments: int = 256
     entries_per_part: int = 1_500_000  # cell entries sorted together in one task
     hot_cell: int = 3_000  # texts in one cell beyond which its pairs are made by a shuffle join instead
-    broadcast_codes: int = 1_000_000  # texts with candidates whose codes are sent to every task; beyond it they are joined by shuffle
+    broadcast_ids: int = 1_000_000  # texts with candidates whose ids are sent to every task; beyond it they are joined by shuffle
     seed: int = 23
 
 
@@ -92,11 +92,21 @@ def cells(shingles: np.ndarray, owner: np.ndarray, texts: int, level: int, p: Co
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def popcounts(shingles: np.ndarray, level: int, p: CopyParams) -> np.ndarray:
-    """Bit counts of about as many segments as a text of the class has bits, at most 255 each."""
-    m = max(16, round(p.similarity ** -(level + 1)))
-    where = ((mix(shingles, p.seed + 5) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    return np.minimum(np.bincount(where.astype(np.int64), minlength=m), 255).astype(np.uint8)
+def popcounts(shingles: np.ndarray) -> np.ndarray:
+    """Bit counts, at most 255 each, of 2**i segments, about one for two bits. Neighbouring segments add up to those of the next smaller 2**i."""
+    m = max(6, math.ceil(math.log2(max(len(shingles), 1) / 2)))
+    where = mix(shingles, 5) >> np.uint64(64 - m)
+    return np.minimum(np.bincount(where.astype(np.int64), minlength=1 << m), 255).astype(np.uint8)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two popcount vectors, the longer folded to the shorter's segments."""
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).sum(axis=1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).sum(axis=1)
+    return int(np.abs(a - b).sum())
 
 
 def _shingles(texts: list[str], hasher: Hasher, p: CopyParams) -> list[np.ndarray | None]:
@@ -198,50 +208,49 @@ def near_copies(df: DataFrame, item_id: str, text: str, params: CopyParams = Cop
     x, y = hot.alias("x"), hot.alias("y")
     more = x.join(y, F.col("x.a") == F.col("y.a")).where((F.col("x.b") < F.col("y.b")) & (F.col("x.home") | F.col("y.home"))).select(F.col("x.b").alias("code_a"), F.col("y.b").alias("code_b"))
     few = found.where("kind = 0").select(F.least("a", "b").alias("code_a"), F.greatest("a", "b").alias("code_b"))
-    return members, _verified(few.unionByName(more).distinct(), coded, p)
+    return members, _verified(few.unionByName(more).distinct(), coded, members, p)
 
 
-def _verified(pairs: DataFrame, coded: DataFrame, p: CopyParams) -> DataFrame:
-    """Manhattan bound on the popcounts, then exact Jaccard similarity, over the texts that have a candidate."""
+def _verified(pairs: DataFrame, coded: DataFrame, members: DataFrame, p: CopyParams) -> DataFrame:
+    """Manhattan bound on the popcounts, then exact Jaccard similarity. Only texts with a candidate are read again, one row a class."""
     t = p.similarity
     pairs = cut_lineage(pairs)
-
-    def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
-        for pdf in it:
-            sets = _shingles(pdf["text"].tolist(), hasher, p)
-            n = np.array([len(s) for s in sets], np.int32)
-            level = size_class(n, t)
-            # Counts for its own class and the next: a pair is compared in the larger text's class.
-            yield pd.DataFrame({"code": pdf["code"], "n": n, "own": [popcounts(s, int(c), p).tobytes() for s, c in zip(sets, level, strict=True)], "next": [popcounts(s, int(c) + 1, p).tobytes() for s, c in zip(sets, level, strict=True)], "shingles": [s.tobytes() for s in sets]})
-
-    ids = pairs.select(F.explode(F.array("code_a", "code_b")).alias("code")).distinct()
-    wanted = coded.join(F.broadcast(ids) if ids.count() <= p.broadcast_codes else ids, "code", "left_semi").dropDuplicates(["code"])
-    sets = cut_lineage(wanted.mapInPandas(measure, "code bigint, n int, own binary, next binary, shingles binary"))
+    counts = cut_lineage(_of_texts(pairs, coded, members, p, lambda s: popcounts(s).tobytes()))
 
     @F.pandas_udf("int")
-    def distance(na: pd.Series, nb: pd.Series, a: pd.Series, a2: pd.Series, b: pd.Series, b2: pd.Series) -> pd.Series:
-        la, lb = size_class(na.to_numpy(), t), size_class(nb.to_numpy(), t)
-        out = np.zeros(len(na), np.int32)
-        for i in range(len(na)):
-            u, v = (a2[i] if la[i] < lb[i] else a[i]), (b2[i] if lb[i] < la[i] else b[i])
-            u, v = np.frombuffer(u, np.uint8).astype(np.int16), np.frombuffer(v, np.uint8)
-            out[i] = np.abs(u - v).sum() if len(u) == len(v) else 1 << 30  # further apart than one class
-        return pd.Series(out)
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([manhattan(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True)])
 
     @F.pandas_udf("double")
     def jaccard(na: pd.Series, nb: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         both = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
         return pd.Series(both / np.maximum(na.to_numpy() + nb.to_numpy() - both, 1))
 
-    def side(s: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("code").alias(f"code_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    def with_both(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        side = lambda s: bodies.select(*[F.col(c).alias(f"{c}_{s}") for c in ("code", "n", "body")])
+        return pairs.join(side("a"), "code_a").join(side("b"), "code_b")
 
     most = (1 - t) / (1 + t) * (F.col("n_a") + F.col("n_b")) + 1e-6
-    counts = pairs.join(side("a", "n", "own", "next"), "code_a").join(side("b", "n", "own", "next"), "code_b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most)
-    near = counts.where(distance("n_a", "n_b", "own_a", "next_a", "own_b", "next_b") <= most).select("code_a", "code_b", "n_a", "n_b")
-    exact = near.join(side("a", "shingles"), "code_a").join(side("b", "shingles"), "code_b")
-    return exact.select("code_a", "code_b", jaccard("n_a", "n_b", "shingles_a", "shingles_b").alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+    near = with_both(pairs, counts).where(F.abs(F.col("n_a") - F.col("n_b")) <= most).where(distance("body_a", "body_b") <= most)
+    near = cut_lineage(near.select("code_a", "code_b"))
+    exact = with_both(near, _of_texts(near, coded, members, p, lambda s: s.tobytes()))
+    return exact.select("code_a", "code_b", jaccard("n_a", "n_b", "body_a", "body_b").alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+
+
+def _of_texts(pairs: DataFrame, coded: DataFrame, members: DataFrame, p: CopyParams, body: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(code, n, body) of the texts in pairs, each read from the least id that holds it, so texts themselves are not shuffled."""
+    codes = pairs.select(F.explode(F.array("code_a", "code_b")).alias("code")).distinct()
+    ids = cut_lineage(members.join(codes, "code", "left_semi").groupBy("code").agg(F.min("id").alias("id")).select("id"))
+    few = ids.count() <= p.broadcast_ids
+
+    def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for pdf in it:
+            sets = _shingles(pdf["text"].tolist(), hasher, p)
+            yield pd.DataFrame({"code": pdf["code"], "n": np.array([len(s) for s in sets], np.int32), "body": [body(s) for s in sets]})
+
+    read = coded.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("code", "text")
+    return read.mapInPandas(measure, "code bigint, n int, body binary").dropDuplicates(["code"])
 
 
 def expand_pairs(members: DataFrame, links: DataFrame, usable: DataFrame) -> DataFrame:
