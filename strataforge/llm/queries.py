@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, near_copies, neighbours, packing, page_identity, pieces
+from . import boilerplate, language, leakage, near_copies, neighbours, packing, page_identity, pieces, residue
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d, True).groupBy("src", "item_id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = residue.residue_pages(table(spark, d, "scrape_results"), "result_id", "url", "text_content")
+    titles = residue.residue_titles(table(spark, d, "search_results"), "hit_id", "title")
+    return pages.select(F.lit("scrape").alias("src"), "item_id").unionByName(titles.select(F.lit("search").alias("src"), "item_id"))
+
+
+def p3_kept_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages left for the index."""
+    scrapes = table(spark, d, "scrape_results").where("text_content is not null").select("result_id", "url", "text_content")
+    bad = residue.residue_pages(scrapes, "result_id", "url", "text_content")
+    return scrapes.select("result_id", "url").distinct().join(bad.select(F.col("item_id").alias("result_id")), "result_id", "left_anti")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.frame_lines(table(spark, d, "scrape_results"), "result_id", "url", "text_content").withColumnRenamed("item_id", "result_id")
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, d, "scrape_results"), "result_id", "url", "text_content").withColumnRenamed("item_id", "result_id")
+
+
 #: The data's own terms: three words a shingle, 0.6, at least 20 words.
 CHUNK_COPIES = near_copies.CopyParams(shingle=3, similarity=0.6, least_words=20)
 
@@ -79,7 +100,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p4_found, p4_groups, p6_packed, p6_utilisation, p7_found, p7_near, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p3_found, p3_kept_pages, p4_found, p4_groups, p5_found, p5_bodies, p6_packed, p6_utilisation, p7_found, p7_near, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
