@@ -97,6 +97,7 @@ PLACEHOLDER = re.compile(
 )
 _CODE_SPAN = re.compile(r"(`+)(?:(?!\1).|\n(?!\n))*?\1")
 _MESSAGE = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES + ERROR_LINES + FILLER_LINES))
+_SCRIPT = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES))
 _TITLE = re.compile("|".join(f"(?:{x})" for x in TITLES))
 _CUES = re.compile(r"error|not found|unavailable|denied|expired|missing|scripts?\b|javascript|placeholder|goes here|moved|deleted|removed|try again|come back|later|wait|sorry|oops|cannot|could not|broken|soon", re.I)
 _WORD = re.compile(r"[^\W_]+")
@@ -131,6 +132,10 @@ def is_message(line: str) -> bool:
     return _MESSAGE.fullmatch(n) is not None or is_filler_latin(n)
 
 
+def is_script_notice(line: str) -> bool:
+    return _SCRIPT.fullmatch(normalise(line)) is not None
+
+
 def has_placeholder(text: str) -> bool:
     return PLACEHOLDER.search(_CODE_SPAN.sub(" ", text)) is not None
 
