@@ -1,15 +1,14 @@
 """Template residue, filler, error and script messages in place of content.
 
-Lines are masked (numbers, addresses, dates, the site's own name), and exact hashes of the masked lines are counted across sites. Phrases that
-only such messages consist of are rules of their own; a short line outside the page frame that recurs on many sites counts with
-weaker cues. Placeholders count wherever they stand outside code.
+Lines are masked (numbers, addresses, dates, the site's own name), and exact hashes of the masked lines are grouped across sites, in the
+same pass that deduces page frames. Phrases that only such messages consist of are rules of their own (`messages`); a short line that stands
+nearly alone where content should be and that many sites share counts with weaker cues. Placeholders count wherever they stand outside code.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,190 +17,41 @@ from pyspark.sql import functions as F
 
 from . import boilerplate
 from .boilerplate import FrameParams, Templates
+from .messages import PLACEHOLDER, bad_title, has_placeholder
 
-# Whole lines (masked, in lower case, without end punctuation) that stand in place of content, as patterns.
-_S = r"(?:java ?scripts?|scripts?|scripting)"
-SCRIPT_LINES = [
-    rf"(?:please )?(?:turn on|enable|activate|allow|switch on) {_S}\b.{{0,60}}",
-    rf"(?:sorry, )?(?:you|this \w+|our \w+|the \w+|.{{1,30}}) (?:need|needs|require|requires|must)(?: to (?:enable|run|turn on|allow|have))? {_S}\b.{{0,50}}",
-    rf"sorry, .{{1,40}} do(?:es)? not work (?:without|when) .{{0,30}}{_S}.{{0,30}}",
-    rf".{{1,60}} works? (?:best|only) with {_S} (?:allowed|enabled|turned on)\b.{{0,60}}",
-    rf"{_S} (?:is|are) (?:disabled|blocked|required|not enabled|turned off|switched off)\b.{{0,80}}",
-    r"noscript\b.{0,100}",
-    rf"loading\W*(?:if nothing happens.{{0,80}})?",
-    rf"your browser (?:is not supported|does not support)\b.{{0,80}}",
-    r"es necesario activar (?:java ?script|los? scripts?)\b.{0,60}",
-    r"(?:veuillez )?activ(?:er|ez) (?:java ?script|les scripts)\b.{0,60}",
-    r"bitte aktivieren sie (?:java ?script|skripte)\b.{0,60}",
-    r"(?:active|habilite) (?:o )?java ?script\b.{0,60}",
-    r"schakel java ?script in\b.{0,60}",
-    r"(?:please wait|just a moment|one moment please|checking your browser)\b.{0,60}",
-]
-ERROR_LINES = [
-    r"(?:error|erreur|fehler|http)? ?0\W{0,3}(?:not found|page not found|bad gateway|forbidden|unauthorized|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests)\b.{0,90}",
-    r"(?:error|erreur|fehler) 0 ?: .{0,90}",
-    r"(?:page|document|file|site) (?:was )?not found\b.{0,80}",
-    r"(?:bad gateway|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests)\b.{0,80}",
-    r"seite nicht gefunden\b.{0,80}",
-    r"(?:la )?page (?:demandée )?(?:est )?introuvable\b.{0,60}",
-    r"(?:p[áa]gina no encontrada|error interno del servidor)\b.{0,80}",
-    r"p[áa]gina não encontrada\b.{0,80}",
-    r"pagina niet gevonden\b.{0,80}",
-    r"interner serverfehler\b.{0,80}",
-    r"we looked everywhere\b.{0,90}",
-    r"hmm\W+we (?:cannot|can't|could not) find\b.{0,90}",
-    r"(?:oops|whoops)\W.{0,90}",
-    r"something went wrong\b.{0,80}",
-    r"application error\W+.{0,90}",
-    r"fatal error\W+.{0,120}",
-    r"traceback \(most recent call last\).{0,200}",
-    r"uncaught \w+.{0,90}",
-    r"this (?:link|page|document) (?:is broken|has been (?:moved|deleted|removed)|was (?:moved|deleted|unpublished|removed)|no longer exists|does not exist)\b.{0,80}",
-    r"the (?:requested )?(?:page|document|file|address)(?: you (?:requested|are looking for))? (?:has been|was) (?:moved|deleted|removed|unpublished)\b.{0,80}",
-    r"access denied\W+(?:you do not|your).{0,90}",
-    r"access denied",
-    r"your session has (?:expired|ended|timed out)\b.{0,80}",
-    r"nothing here yet\b.{0,60}",
-    r"document moved\b.{0,60}",
-]
-FILLER_LINES = [
-    r"(?:description|text|title|content|summary|body) goes here\b.{0,40}",
-    r"(?:this is )?(?:a )?placeholder (?:copy|text|content|paragraph)\b.{0,80}",
-    r"your (?:content|text|title|description) (?:goes )?here\b.{0,80}",
-    r"add (?:a|your) (?:short )?(?:summary|description|text)\b.{0,80}",
-    r"(?:todo|tbd|fixme)\W+(?:write|add|fill|describe|document|complete)\b.{0,60}",
-    r"(?:tbd|todo|fixme|tba|xxx+|asdf|qwer|foo|bla|blah|text|sample|lorem)(?:[\s,.;:]+(?:tbd|todo|fixme|tba|xxx+|asdf|qwer|foo|bla|blah|text|sample|lorem))+",
-    r"(?:tbd|tba|todo|fixme|coming soon|under construction)",
-    r"(?:(?:sample|example|dummy) (?:paragraph|text|sentence)\W*)+",
-    r"(?:blindtext|platzhalter|fülltext)\b.{0,90}",
-    r"(?:texto|texte) de (?:relleno|remplissage|prueba)\b.{0,60}",
-    r"(?:replace|insert) (?:this|your) (?:text|paragraph|content)\b.{0,60}",
-]
-#: Words of the usual filler Latin.
-FILLER_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis "
-    "nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
-)
-#: Titles that are an error, waiting, script or filler message, or a printed missing value, as patterns.
-TITLES = [
-    *SCRIPT_LINES, *FILLER_LINES, *ERROR_LINES,
-    r"(?:error|erreur|fehler|http error) ?0", r"0", r"(?:oops|whoops|error|erreur|fehler|loading|redirecting)", r"enable java ?script to continue", r"(?:sample|example|my new|new) page(?: title)?(?: \(.{0,20}\))?",
-    r"(?:null|undefined|none|nan|nil|n/?a|\[object object\]|\(null\)|true|false)", r"lorem ipsum(?: dolor.{0,40})?", r"moved permanently", r"forbidden", r"not found", r"untitled(?: document| page)?",
-]
-#: Forms of placeholders left unfilled.
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\{%[^{}\n]{1,80}%\}|<%[^<>\n]{1,80}%>|[$#]\{[^{}\n]{1,60}\}|\$\[[^\[\]\n]{1,60}\]|\$[A-Z][A-Z0-9]*_[A-Z0-9_]+\b|(?<![\w%])%%?[A-Za-z][\w.]{1,40}%%?(?![\w%])"
-    r"|@@\w[\w.]{0,40}@@|(?<![\w.])__[A-Z][A-Z0-9_]*__(?!\w)|\(\(\([^()\n]{1,60}\)\)\)|\[\[[^\[\]\n]{1,80}\]\]|<(?:your|insert|enter)[-_ ][\w -]{1,40}>|<[\w]+(?:[-_ ][\w]+)*[-_ ]here>"
-    r"|\[(?:YOUR|INSERT|ENTER|ADD|REPLACE|FILL)[ _][^\[\]\n]{1,60}\](?!\()|\[[A-Z][A-Z _]{0,40} HERE\]|\[(?:your|insert|enter) [^\[\]\n]{1,60}\](?!\()"
-)
-_CODE_SPAN = re.compile(r"(`+)(?:(?!\1).|\n(?!\n))*?\1")
-_MESSAGE = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES + ERROR_LINES + FILLER_LINES))
-_SCRIPT = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES))
-_TITLE = re.compile("|".join(f"(?:{x})" for x in TITLES))
+#: Cues that make a short line recurring on many sites a message.
 _CUES = re.compile(r"error|not found|unavailable|denied|expired|missing|scripts?\b|javascript|placeholder|goes here|moved|deleted|removed|try again|come back|later|wait|sorry|oops|cannot|could not|broken|soon", re.I)
-_WORD = re.compile(r"[^\W_]+")
-_TRIM = " \t\r-*>#_.!…:;\"'“”"
+WEAK_WORDS = 14
 
 
-@dataclass(frozen=True)
-class ResidueParams:
-    """A line with a weak cue is a message when its masked form is on at least `wide_sites` sites and `wide_share` of all pages at most."""
-
-    wide_sites: int = 8
-    wide_share: float = 0.003
-    weak_words: int = 14
-    filler_words: int = 6
-    filler_share: float = 0.8
-
-
-def normalise(line: str) -> str:
-    return re.sub(r"\d+", "0", line.strip(_TRIM).lower())
-
-
-def is_filler_latin(line: str, p: ResidueParams = ResidueParams()) -> bool:
-    words = _WORD.findall(line.lower())
-    return len(words) >= p.filler_words and sum(w in FILLER_LATIN for w in words) >= p.filler_share * len(words)
-
-
-def is_message(line: str) -> bool:
-    """A whole line that is an error, script or filler message."""
-    n = normalise(line)
-    if not n or len(n) > 400:
-        return is_filler_latin(line)
-    return _MESSAGE.fullmatch(n) is not None or is_filler_latin(n)
-
-
-def is_script_notice(line: str) -> bool:
-    return _SCRIPT.fullmatch(normalise(line)) is not None
-
-
-def has_placeholder(text: str) -> bool:
-    return PLACEHOLDER.search(_CODE_SPAN.sub(" ", text)) is not None
-
-
-def bad_title(title: str | None, brand: str = "") -> bool:
-    """A title that is or contains an unfilled placeholder, or is a message, filler or a printed missing value. Null and blank are not."""
-    if not title or not title.strip():
-        return False
-    if has_placeholder(title):
-        return True
-    whole = title.strip().lower()
-    for t in {whole, re.sub(r"\s+[|–—·-]\s+[^|–—·]{1,40}$", "", whole)}:
-        if _TITLE.fullmatch(re.sub(r"\d+", "0", t.strip(_TRIM + "()"))) or _TITLE.fullmatch(re.sub(r"\d+", "0", t)):
-            return True
-    return False
-
-
-def page_residue(text: str, site: int, brand: str, templates: Templates, wide: frozenset[int]) -> str | None:
+def page_residue(text: str, site: int, brand: str, templates: Templates) -> str | None:
     """'placeholder', 'message' or None."""
     page = boilerplate.read_page(text, brand, site, templates)
-    lines = page.lines
-    outside = "\n".join(x for x, k in zip(lines, page.kinds, strict=True) if k != "code")
-    if has_placeholder(outside):
+    if PLACEHOLDER.search(text) and has_placeholder("\n".join(x for x, k in zip(page.lines, page.kinds, strict=True) if k != "code")):
         return "placeholder"
-    for x, kind, framed in zip(lines, page.kinds, page.frame, strict=True):
-        if framed or kind in ("code", "blank", "table"):
-            continue
-        if kind != "heading" and (is_message(x) or (wide and boilerplate.token(x, brand) in wide)):
-            return "message"
+    body = [(x, f) for x, f, k, framed in zip(page.lines, page.facts, page.kinds, page.frame, strict=True) if k == "text" and not framed]
+    if any(f.message for _, f in body):
+        return "message"
+    # A line that many sites share, standing nearly alone where content should be.
+    if 0 < len(body) <= 3 and any(f.words <= WEAK_WORDS and _CUES.search(x) and boilerplate.member(templates.wide, f.token) for x, f in body):
+        return "message"
     return None
 
 
-def _wide_messages(pages: DataFrame, total: int, p: ResidueParams) -> DataFrame:
-    """(token): masked short lines with a weak cue that many sites share, in places where content stands."""
-
-    def weak(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            seen: set[tuple[int, int]] = set()
-            for text, site, brand in zip(pdf["text"], pdf["site"], pdf["brand"], strict=True):
-                page = boilerplate.read_page(text, brand, site, boilerplate.NO_TEMPLATES)
-                body = [x for x, k, f in zip(page.lines, page.kinds, page.frame, strict=True) if not f and k not in ("code", "blank", "table", "heading")]
-                if len(body) <= 3:  # in place of content, not within it
-                    seen.update((boilerplate.token(x, brand), site) for x in body if _CUES.search(x) and len(_WORD.findall(x)) <= p.weak_words)
-            yield pd.DataFrame(list(seen), columns=["token", "site"])
-
-    lines = pages.mapInPandas(weak, "token bigint, site bigint").distinct()
-    return lines.groupBy("token").agg(F.count("*").alias("sites")).where((F.col("sites") >= p.wide_sites)).select("token")
-
-
-def residue_pages(df: DataFrame, item_id: str, url: str, text: str, params: ResidueParams = ResidueParams(), frame: FrameParams = FrameParams()) -> DataFrame:
+def residue_pages(df: DataFrame, item_id: str, url: str, text: str, frame: FrameParams = FrameParams()) -> DataFrame:
     """(item_id, reason) of pages with an unfilled placeholder outside code, or a message in place of content outside the page frame.
 
     Null, empty and blank texts give no row; a null URL puts a page on a site of its own; re-delivered ids count once;
     other columns are ignored.
     """
     pages = boilerplate.site_pages(df, item_id, url, text)
-    templates = boilerplate.deduce_templates(pages, frame)
-    words = _wide_messages(pages, 0, params)
-    wide = frozenset(int(r["token"]) for r in words.limit(100_000).collect())  # masked messages shared by many sites: a vocabulary, not data
     kind = dict(df.dtypes)[item_id]
 
     def run(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
-        out = [(i, r) for i, t, s, b in zip(pdf["item_id"], pdf["text"], pdf["site"], pdf["brand"], strict=True) if (r := page_residue(t, s, b, known, wide))]
+        out = [(i, r) for i, t, s, b in zip(pdf["item_id"], pdf["text"], pdf["site"], pdf["brand"], strict=True) if (r := page_residue(t, s, b, known))]
         return pd.DataFrame(out, columns=["item_id", "reason"])
 
-    return templates.apply(pages, run, f"item_id {kind}, reason string")
+    return boilerplate.deduce_templates(pages, frame).apply(pages, run, f"item_id {kind}, reason string").dropDuplicates(["item_id"])
 
 
 def residue_titles(df: DataFrame, item_id: str, title: str) -> DataFrame:
