@@ -1,0 +1 @@
+"""Readers of pages: crawls, archives, files, link lists."""
