@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -59,6 +60,6 @@ def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    out = spark.read.schema(stream.schema.add("batch", "int") if "batch" not in stream.columns else stream.schema).parquet(f"{root}/out")
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{root}/out")
     values = [c for c in stream.columns if c not in keys]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in values])
