@@ -103,5 +103,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p3_found, p3_kept_pages, p4_found, p4_groups, p5_found, p5_bodies, p6_packed, p6_utilisation, p7_found, p7_near, p8_found, p8_languages)}
 
 
+#: Brute force over all pairs; and white space as Unicode defines it.
+P1_SQL = """
+with e as (select chunk_id as id, embedding::double[] as v from (select distinct on (chunk_id) * from documents_vec)
+where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as sim from e a join e b on a.id <> b.id),
+r as (select a, b, sim from s qualify row_number() over (partition by a order by sim desc, b) <= 10)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where sim >= 0.9"""
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+UNITS = r"(length({0}) + len(regexp_extract_all({0}, '[\x{{10000}}-\x{{10FFFF}}]')))"
+P2_SQL = f"""
+with t as (select 'chunk' as src, id as item_id, content as t from (select distinct on (id) * from chunks)
+union all select 'scrape', result_id, text_content from (select distinct on (result_id) * from scrape_results)),
+l as (select src, item_id, list_max(list_transform(regexp_split_to_array(t, '{SPACE}'), lambda x: {UNITS.format("x")})) as run from t where {UNITS.format("t")} > 5000)
+select src, item_id, case when run > 5000 then 'forced' else 'natural' end as cut from l"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins where SQL can express the result; the others are tested against brute force on fixtures."""
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL}
