@@ -166,6 +166,8 @@ class _Writer:
     def inline(self, n: Node | str) -> str:
         if isinstance(n, str):
             return re.sub(r"\s+", " ", n)
+        if n.tag in ("head", "title", "script", "style", "template"):
+            return ""
         inner = lambda: "".join(self.inline(c) for c in n.children)
         if n.tag == "br":
             return "\n"
@@ -211,7 +213,7 @@ class _Writer:
         return out
 
     def _is_block(self, n: Node) -> bool:
-        return n.tag in BLOCK or (n.tag not in ("a", "code", "img") and any(isinstance(c, Node) and self._is_block(c) for c in n.children))
+        return n.tag in BLOCK or (n.tag not in ("a", "code", "img", "head") and any(isinstance(c, Node) and self._is_block(c) for c in n.children))
 
     def block(self, n: Node) -> list[str]:
         if re.fullmatch("h[1-6]", n.tag):

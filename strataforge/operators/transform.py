@@ -12,13 +12,15 @@ from ..functions import html as H
 
 
 def html_to_markdown(df: DataFrame, html: str, url: str) -> DataFrame:
-    """`df` with title, markdown, links, errors; a null page gives 'Untitled' and an empty text."""
-    rest = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    """`df` with title, markdown, links, errors, which replace columns of these names; a null page gives 'Untitled' and an empty text."""
+    added = ("title", "markdown", "links", "errors")
+    df = df.select(*[c for c in df.columns if c not in added or c in (html, url)])
+    rest = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             done = [H.convert(h, u or "") for h, u in zip(pdf[html], pdf[url], strict=True)]
-            for i, c in enumerate(("title", "markdown", "links", "errors")):
+            for i, c in enumerate(added):
                 pdf[c] = [x[i] for x in done]
             yield pdf
 

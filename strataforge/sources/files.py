@@ -72,14 +72,15 @@ def parse_link_list(text: str | None) -> tuple[str | None, list[tuple[str, str,
 
 
 def link_lists(df: DataFrame, text: str) -> DataFrame:
-    """`df` with its list's links exploded: title, section, name, link, note, optional."""
+    """`df` with its list's links exploded: title, section, name, link, note, optional, which replace columns of these names."""
 
     @F.udf("struct<title:string,links:array<struct<section:string,name:string,link:string,note:string,optional:boolean>>>")
     def parse(t: str | None):
         return parse_link_list(t)
 
+    kept = [c for c in df.columns if c not in ("title", "section", "name", "link", "note", "optional")]
     p = df.withColumn("_p", parse(F.col(text)))
-    return p.select(*df.columns, F.col("_p.title").alias("title"), F.explode("_p.links").alias("_l")).select(*df.columns, "title", "_l.*")
+    return p.select(*kept, F.col("_p.title").alias("title"), F.explode("_p.links").alias("_l")).select(*kept, "title", "_l.*")
 
 
 def decode(content: bytes, header_charset: str | None = None) -> str:
