@@ -97,7 +97,7 @@ def _item_windows(items: DataFrame, item_id: str, passages: list[str], p: LeakPa
             starts, owner = _starts(lengths, p.window)
             span = [h[s : s + p.window].astype(np.int64) for s in starts]
             for rep in range(p.repetitions):
-                yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[owner], "key": window_keys(h, starts, p, rep).astype(np.int64), "words": span})
+                yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[owner], "key": window_keys(h, starts, p, rep).astype(np.int64), "words": pd.Series(span, dtype=object)})
 
     return long.where(F.col("passage").isNotNull()).mapInPandas(make, f"item_id {dict(items.dtypes)[item_id]}, key bigint, words array<bigint>")
 
@@ -166,7 +166,7 @@ def _join_keys(corpus: DataFrame, windows: DataFrame, kind: str, p: LeakParams)
                 ends = np.cumsum(lengths)[owner] if len(owner) else np.zeros(0, np.int64)
                 spans = [h[s : min(s + p.window + p.max_edits, e)].astype(np.int64) for s, e in zip(starts, ends, strict=True)]
                 for rep in range(p.repetitions):
-                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner], "key": window_keys(h, starts, p, rep).astype(np.int64), "span": spans})
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner], "key": window_keys(h, starts, p, rep).astype(np.int64), "span": pd.Series(spans, dtype=object)})
 
     near = corpus.mapInPandas(emit, f"doc_id {kind}, key bigint, span array<bigint>").join(windows, "key")
     if p.max_edits == 0:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,7 @@ class CurveParams:
     """A row meets about 2 x window rows on each side on every curve. Recall at these values is given in the README."""
 
     k: int = 10
+    slack: int = 6
     size: int = 64
     curves: int = 18
     dims: int = 10
@@ -283,7 +284,11 @@ def similar_pairs(df: DataFrame, item_id: str, vector: str, params: CurveParams
     Similarities and ranks are exact over the candidates the curves found. Unusable rows and ties are as in `nearest`.
     """
     p = params
-    near = nearest(df, item_id, vector, p)
+    # Some more than k are searched: rounding may reorder near ties, which exact similarities settle.
+    near = nearest(df, item_id, vector, replace(p, k=p.k + p.slack))
     pairs = near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
-    exact = exact_similarity(pairs, usable(df, item_id, vector, p.size).dropDuplicates(["id"]), "id_a", "id_b", p.broadcast_ids)
-    return exact.where(F.col("similarity") >= p.least - 1e-9)
+    exact = exact_similarity(pairs, usable(df, item_id, vector, p.size).dropDuplicates(["id"]), "id_a", "id_b", p.broadcast_ids).where(F.col("similarity") >= p.least - 1e-9)
+    ends = F.array(F.struct(F.col("id_a").alias("u"), F.col("id_b").alias("v")), F.struct(F.col("id_b").alias("u"), F.col("id_a").alias("v")))
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("similarity"), "v"))
+    kept = exact.select("similarity", F.explode(ends).alias("e")).select("similarity", "e.u", "e.v").withColumn("n", place).where(F.col("n") <= p.k)
+    return kept.groupBy(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b")).agg(F.max("similarity").alias("similarity"))
