@@ -91,7 +91,7 @@ _SCRIPT = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES))
 _TITLE = re.compile("|".join(f"(?:{x})" for x in TITLES))
 _CUES = re.compile(r"error|not found|unavailable|denied|expired|missing|scripts?\b|javascript|placeholder|goes here|moved|deleted|removed|try again|come back|later|wait|sorry|oops|cannot|could not|broken|soon", re.I)
 _WORD = re.compile(r"[^\W_]+")
-_TRIM = " \t\r-*>#_.!…:;"
+_TRIM = " \t\r-*#_.!…:;"
 
 
 #: Share of a line's words that must be filler Latin, and least words.

@@ -117,19 +117,20 @@ def pack(sizes: DataFrame, capacity: int, params: PackParams = PackParams()) ->
     histogram = {int(k): int(v) for k, v in counts.groupby("rest")["n"].sum().items() if k > 0}
     done = plan(histogram, capacity)
     counts["offset"] = counts.groupby("rest")["n"].cumsum() - counts["n"]
-    offsets = {(int(r), int(s)): int(o) for r, s, o in zip(counts["rest"], counts["salt"], counts["offset"], strict=True)}
+    groups, offsets = (counts["rest"] * params.most_salts + counts["salt"]).to_numpy(np.int64), counts["offset"].to_numpy(np.int64)  # sorted, as counts are
     tiles = np.array(sorted(done.tiles), np.int64).reshape(-1, 4)
-    sent = sizes.sparkSession.sparkContext.broadcast((offsets, tiles))
+    sent = sizes.sparkSession.sparkContext.broadcast((groups, offsets, tiles))
     ranked = salted.where("rest > 0").withColumn("rank", F.row_number().over(Window.partitionBy("rest", "salt").orderBy("doc_id")) - 1)
     kind = dict(sizes.dtypes)["doc_id"]
+    most = params.most_salts
     schema = f"container_id bigint, doc_id {kind}, part_no int, token_start bigint, n_tokens bigint"
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offsets, tiles = sent.value
+        groups, offsets, tiles = sent.value
         starts = tiles[:, 0] * (1 << 42) + tiles[:, 1]
         for pdf in it:
             rest = pdf["rest"].to_numpy()
-            rank = pdf["rank"].to_numpy() + np.array([offsets[k] for k in zip(rest.tolist(), pdf["salt"].tolist(), strict=True)], np.int64)
+            rank = pdf["rank"].to_numpy() + offsets[np.searchsorted(groups, rest * most + pdf["salt"].to_numpy())]
             i = np.searchsorted(starts, rest * (1 << 42) + rank, "right") - 1
             yield pd.DataFrame({"container_id": tiles[i, 3] + rank - tiles[i, 1], "doc_id": pdf["doc_id"], "part_no": pdf["full"].astype("int32"), "token_start": pdf["full"] * capacity, "n_tokens": rest})
 
