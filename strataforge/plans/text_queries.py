@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, transform
+from ..operators import chunking, embedding, pipeline, transform
 from . import tables
 from .catalogue import CHUNKS_SQL, HITS_SQL, SCRAPES_SQL, query
 
@@ -78,3 +78,20 @@ def split_json_blocks(spark: SparkSession, d: str) -> DataFrame:
 def split_source_blocks(spark: SparkSession, d: str) -> DataFrame:
     code = code_blocks(spark, d).where(F.col("language").isin("python", "js", "ts", "javascript", "typescript"))
     return chunking.source_chunks(code, "block", "code", "language")
+
+
+@query()
+def processed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page through the pipeline of its media type."""
+    s = tables.scrapes(spark, d).select("result_id", "url", "content_type", "text_content")
+    p = pipeline.processed(s, "result_id", "url", "content_type", "text_content")
+    return p.select("item_id", "title", F.size("links").alias("links"), F.size("chunks").alias("chunks"), F.size("errors").alias("errors"))
+
+
+@query()
+def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their page's title and address, embedded offline."""
+    c = tables.chunks(spark, d, "page_id", "path", "content").where("content is not null")
+    p = tables.pages(spark, d).select(F.col("id").alias("page_id"), "title", "url")
+    t = c.join(p, "page_id").select("id", embedding.embedding_text(F.col("title"), F.col("url"), F.col("path"), F.col("content")).alias("text"))
+    return embedding.embed_column(t, "text", "embedding", 256).select("id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.web import source_kind
 from . import tables
 from .catalogue import HITS_SQL, PAGES_SQL, SCRAPES_SQL, query
 
@@ -117,3 +118,8 @@ select query_id, hit_id, row_number() over (partition by query_id, {sql_normal('
 def first_hit_of_page(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("query_id", urls.normalize(F.col("url"))).orderBy("hit_id")
     return tables.hits(spark, d).where("url is not null").select("query_id", "hit_id", (F.row_number().over(w) == 1).alias("first"))
+
+
+@query("select id, case when regexp_matches(lower(source_url), '^https?://(www\\.)?github\\.com(/|$)') then 'repository' when regexp_matches(lower(source_url), '^https?://') then 'web' when source_url like 'file:%' then 'file' end as kind from versions")
+def source_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return tables.versions(spark, d).select("id", source_kind(F.col("source_url")).alias("kind"))

@@ -1,7 +1,9 @@
 """Embedding requests, documents, access, settings, manifests."""
 
+import http.server
 import io
 import json
+import threading
 import zipfile
 
 import pytest
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from strataforge import config
 from strataforge.functions import documents
-from strataforge.operators import embedding, manifest
+from strataforge.operators import embedding, manifest, pipeline
+from strataforge.sources import web
 from strataforge.sources.access import AccessDenied, AccessPolicy
 from strataforge.streaming import events
 
@@ -105,3 +108,61 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
     assert sorted(r.n for r in got.collect()) == [4, 4, 4]
     slid = events.drain(events.sliding_users(events.read_events(spark, str(tmp_path / "events")), late="9 days"), ["w"])
     assert sum(r.n for r in slid.collect()) == 24
+
+
+class Handler(http.server.BaseHTTPRequestHandler):
+    tries: dict[str, int] = {}
+
+    def do_GET(self):
+        n = self.tries[self.path] = self.tries.get(self.path, 0) + 1
+        code = {"/ok": 200, "/gone": 404, "/flaky": 503 if n < 3 else 200, "/bad": 500, "/no": 403}.get(self.path, 404)
+        if self.headers.get("If-None-Match") == '"t"':
+            code = 304
+        self.send_response(code)
+        self.send_header("ETag", '"t"')
+        self.send_header("Content-Type", "text/plain")
+        self.end_headers()
+        if code == 200:
+            self.wfile.write(b"hello")
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture(scope="module")
+def server():
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_fetch(spark, server):
+    open_ = web.FetchOptions(base_delay=0, policy=AccessPolicy(private=True))
+    get = lambda p, tag=None: web.fetch(server + p, tag, open_, sleep=lambda s: None)
+    assert get("/ok")[1] == 200 and get("/ok")[6] == b"hello" and get("/ok", '"t"')[1] == 304 and get("/gone")[1] == 404
+    assert get("/flaky")[1] == 200 and get("/bad")[1] == 500 and get("/bad")[7] and get("/no")[1] == 403
+    assert Handler.tries["/no"] == 1 and Handler.tries["/bad"] == 8
+    assert web.fetch(server + "/ok")[7] == "access denied"
+    web.register(spark)
+    df = spark.read.format("webpages").option("urls", json.dumps([server + "/ok", server + "/gone", server + "/ok"])).option("private", "true").option("partitions", "2").load()
+    assert sorted(r.status for r in df.collect()) == [200, 404]
+    front = spark.createDataFrame([(server + "/ok", '"t"'), (server + "/ok", None), (None, None)], "url string, etag string")
+    assert [r.status for r in web.fetch_pages(front, open_, 2).collect()] == [304]
+
+
+def test_source_kinds_and_trees(spark):
+    df = spark.createDataFrame([("file:///a",), ("https://www.npmjs.com/x",), ("https://pypi.org/p",), ("https://github.com/o/r",), ("http://h.example/",), ("ftp://h/",), (None,)], "u string")
+    assert [r[0] for r in df.select(web.source_kind(F.col("u"))).collect()] == ["file", "npm", "pypi", "repository", "web", None, None]
+    tree = [("docs/a.md", "blob"), ("docs/old/b.md", "blob"), ("src/x.py", "blob"), ("docs/i.png", "blob"), ("docs", "tree"), ("README", "blob"), ("docs2/c.md", "blob"), ("docs/d.docx", "blob")]
+    t = spark.createDataFrame(tree, "path string, kind string")
+    assert {r.path for r in web.admitted_files(t, "path", "kind").collect()} == {"docs/a.md", "src/x.py", "README", "docs2/c.md", "docs/d.docx"}
+    assert {r.path for r in web.admitted_files(t, "path", "kind", "/docs/", excludes=[]).collect()} == {"docs/a.md", "docs/old/b.md", "docs/d.docx"}
+
+
+def test_pipelines(spark):
+    rows = [(1, "u", "application/json; charset=utf-8", '{"name": "N", "a": [1]}'), (2, "https://h/x.py", "text/x-python", "def f():\n    pass\n"), (3, "https://h/", "text/html", "<h1>T</h1><p>x <a href='y'>l</a></p>"), (4, "u", "text/markdown", "# M\n\n[a](b)\n\n[r]: c"), (5, "u", "text/plain", "plain"), (6, "u", "image/png", "no"), (7, "u", "text/html", None), (8, "u", "application/json", "{broken")]
+    df = spark.createDataFrame(rows, "k int, url string, mime string, body string").withColumn("title", F.lit("clash"))
+    got = {r.item_id: r for r in pipeline.processed(df, "k", "url", "mime", "body").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 8} and [got[i].title for i in (1, 2, 3, 4, 5)] == ["N", "x.py", "T", "M", "Untitled"]
+    assert got[3].links == ["https://h/y"] and got[4].links == ["b", "c"] and got[8].errors and got[8].chunks[0].content == "{broken" and got[2].chunks[0].path == ["f"]
