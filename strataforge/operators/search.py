@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,39 +18,41 @@ K1, B = 1.2, 0.75
 RRF = 60
 
 
-def field_tokens(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """key, tokens: all tokens of a row with their field's weight, as array<struct<t, w>>."""
-    return docs.select(key, F.concat(*[weighted(tokens(F.col(c)), w) for c, w in weights.items()]).alias("tokens"))
-
-
 def weighted(terms: Column, weight: float) -> Column:
     return F.transform(terms, lambda x: F.struct(x.alias("t"), F.lit(float(weight)).alias("w")))
 
 
-def corpus_stats(listed: DataFrame) -> DataFrame:
-    """One row: n rows and average tokens a row."""
-    return listed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+def occurrences(docs: DataFrame, key: str, weights: dict[str, float], terms: DataFrame | None = None, by: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(key, term, w): one row for each occurrence in the weighted fields of a row; `by` cuts a field into terms.
+
+    With `terms` (term) only those are kept, before anything is shuffled, so texts stay where they are. Re-delivered rows of a key count once: an occurrence is
+    told by its key and position.
+    """
+    all_terms = F.concat(*[weighted(F.coalesce(by(F.col(c)), F.array().cast("array<string>")), w) for c, w in weights.items()])
+    rows = docs.select(key, F.posexplode(all_terms).alias("pos", "x")).select(key, "pos", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
+    return (rows if terms is None else rows.join(terms, "term", "left_semi")).dropDuplicates([key, "pos"]).select(key, "term", "w")
+
+
+def lengths(docs: DataFrame, key: str, fields: list[str], by: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(key, len): terms of a row over its fields, one row a key."""
+    total = sum((F.coalesce(F.size(by(F.col(c))), F.lit(0)) for c in fields[1:]), F.coalesce(F.size(by(F.col(fields[0]))), F.lit(0)))
+    return docs.select(key, total.alias("len")).dropDuplicates([key])
 
 
-def bm25(listed: DataFrame, queries: DataFrame, key: str, k: int | None = 20, keep: Column | None = None) -> DataFrame:
+def bm25(found: DataFrame, sizes: DataFrame, queries: DataFrame, key: str, k: int | None = 20) -> DataFrame:
     """(query_id, key, score): BM25 of rows for queries (query_id, term: one row a distinct query term), the k best of each.
 
-    `listed` comes from `field_tokens`. Only tokens that some query asks for leave the map side: terms are joined before they are grouped. A
-    row matches if it holds any term. idf below zero counts as 1e-6. Statistics are over all rows; `keep` drops rows from the result only.
-    Ties go to the smaller key.
+    `found` are the `occurrences` of at least all query terms, `sizes` the `lengths` of all rows, which the statistics are over. A row
+    matches if it holds any term. idf below zero counts as 1e-6. Ties go to the smaller key.
     """
-    terms = queries.select("term").distinct()
-    size = listed.select(key, F.size("tokens").alias("len"), "tokens")
-    tf = size.select(key, "len", F.explode("tokens").alias("x")).select(key, "len", F.col("x.t").alias("term"), F.col("x.w").alias("w")).join(terms, "term").groupBy(key, "len", "term").agg(F.sum("w").alias("f"))
-    stats = corpus_stats(listed)
+    tf = found.join(queries.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.sum("w").alias("f")).join(sizes, key)
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select(  # one row of statistics
         "term", "avg_len", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf")
     )
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = tf.join(idf, "term").select(key, "term", part.alias("s")).join(queries.select("query_id", "term"), "term").groupBy("query_id", key).agg(F.round(F.sum("s"), 9).alias("score"))
-    if keep is not None:
-        scored = scored.where(keep)
     return scored if k is None else top(scored, "score", k, key)
 
 

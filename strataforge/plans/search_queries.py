@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fulltext import match_expression, stems, tokens
 from ..operators import expand, search
-from ..session import cut_lineage
+from ..session import cut_lineage, table
 from . import tables
 from .catalogue import CHUNKS_SQL, HITS_SQL, PAGES_SQL, USABLE_SQL, query
 
@@ -25,15 +27,28 @@ KNN_SQL = f"""e as {USABLE_SQL}, vq as (select h.hit_id as query_id, e.e, e.vers
 nn as (select query_id, chunk_id as id, round(list_distance(vq.e, e.e), 9) as distance from vq, e)"""
 
 
-def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the page fields that the full-text index holds."""
-    c = tables.chunks(spark, d, "page_id", "version_id", "content", "path", "types", "sort_order")
-    p = tables.pages(spark, d).select(F.col("id").alias("page_id"), "title", "url", "content_type")
-    return c.join(p, "page_id")
+CHUNK_FIELDS, PAGE_FIELDS = ("content", "path"), ("title", "url")
+
+
+def indexed(spark: SparkSession, d: str, terms: DataFrame | None, by: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame]:
+    """Occurrences and lengths of all chunks over content, path and their page's title and URL.
+
+    Chunk and page texts are cut into terms where they are read; a page's few terms then go to its chunks, so no text is shuffled.
+    """
+    pick = lambda fields: {f: search.WEIGHTS[f] for f in fields}
+    c = table(spark, d, "chunks").select("id", "content", F.array_join("path", " ").alias("path"))
+    p = table(spark, d, "doc_pages").select(F.col("id").alias("page_id"), "title", "url")
+    pairs = tables.chunks(spark, d, "page_id").where("page_id is not null")
+    paged = search.lengths(p, "page_id", list(PAGE_FIELDS), by).withColumnRenamed("len", "page_len")
+    sizes = search.lengths(c, "id", list(CHUNK_FIELDS), by).join(pairs, "id").join(paged, "page_id").select("id", (F.col("len") + F.col("page_len")).alias("len"))
+    own = search.occurrences(c, "id", pick(CHUNK_FIELDS), terms, by)
+    given = search.occurrences(p, "page_id", pick(PAGE_FIELDS), terms, by).join(pairs, "page_id").select("id", "term", "w")
+    return own.unionByName(given), sizes
 
 
-def listed(spark: SparkSession, d: str) -> DataFrame:
-    return search.field_tokens(documents(spark, d).withColumn("path", F.array_join("path", " ")), "id")
+def ranked_texts(spark: SparkSession, d: str, k: int) -> DataFrame:
+    q = text_queries(spark, d)
+    return search.bm25(*indexed(spark, d, q.select("term").distinct()), q, "id", k)
 
 
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -48,43 +63,42 @@ def vector_queries(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
 
 def arms(spark: SparkSession, d: str, depth: int) -> tuple[DataFrame, DataFrame]:
     e = tables.vectors(spark, d)
-    text = search.bm25(listed(spark, d), text_queries(spark, d), "id", depth)
+    text = ranked_texts(spark, d, depth)
     near = search.knn(e.withColumnRenamed("chunk_id", "id"), vector_queries(spark, d, e), "id", depth)
     return text, near
 
 
 @query(f"{BM25_SQL} select query_id, id, score from bm qualify row_number() over (partition by query_id order by score desc, id) <= 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(listed(spark, d), text_queries(spark, d), "id", 20)
+    return ranked_texts(spark, d, 20)
 
 
 @query(f"""{BM25_SQL} select query_id, id, score from (select * from bm qualify row_number() over (partition by query_id order by score desc, id) <= 40) join docs using (id)
 where not coalesce(list_contains(types, 'code'), false)""")
 def bm25_structural_excluded(spark: SparkSession, d: str) -> DataFrame:
     """A type is left out after the arm's limit, as the hybrid search does."""
-    best = search.bm25(listed(spark, d), text_queries(spark, d), "id", 40)
+    best = ranked_texts(spark, d, 40)
     types = tables.chunks(spark, d, "types")
     return best.join(types, "id").where(~F.coalesce(F.array_contains("types", "code"), F.lit(False))).select("query_id", "id", "score")
 
 
 @query(f"with {DOCS_SQL}, {TF_SQL} select term, count(*) as df, sum(f) as weight from tf group by term")
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    t = listed(spark, d).select("id", F.explode("tokens").alias("x")).groupBy("id", F.col("x.t").alias("term")).agg(F.sum("x.w").alias("f"))
+    found, sizes = indexed(spark, d, None)
+    t = found.join(sizes.select("id"), "id", "left_semi").groupBy("id", "term").agg(F.sum("w").alias("f"))
     return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("weight"))
 
 
 @query(f"with {DOCS_SQL} select count(*) as n, round(avg(len(ct) + len(tt) + len(ut) + len(pt)), 6) as avg_len from docs")
 def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return search.corpus_stats(listed(spark, d)).select("n", F.round("avg_len", 6).alias("avg_len"))
+    return indexed(spark, d, None)[1].agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("avg_len"))
 
 
 @query()
 def bm25_porter(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed ranking; the stemmer and scores are held against an embedded full-text index in the tests."""
-    parts = [search.weighted(stems(F.col(c)), w) for c, w in search.WEIGHTS.items()]
-    docs = documents(spark, d).withColumn("path", F.array_join("path", " ")).select("id", F.concat(*[F.coalesce(p, F.array().cast("array<struct<t:string,w:double>>")) for p in parts]).alias("tokens"))
     q = tables.hits(spark, d).where("hit_id % 100 = 0").select(F.col("hit_id").alias("query_id"), F.explode(F.array_distinct(stems(F.col("query_text")))).alias("term"))
-    return search.bm25(docs, q, "id", 20)
+    return search.bm25(*indexed(spark, d, q.select("term").distinct(), stems), q, "id", 20)
 
 
 @query()
