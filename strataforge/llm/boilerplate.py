@@ -2,9 +2,11 @@
 
 The token of a line is its masked form (numbers, link targets and the site's own name left out). Over a site's pages a token has an
 occurrence vector, held as a 64-bit exclusive-or over (page, count); tokens with equal vectors form an equivalence
-class. A class is valid template material if it recurs on pages of different titles and its tokens nest in the frame, that is, lie mostly
-before a page's first heading or after its last surely own line. Classes too thin on one site are found across sites, since the site's name is
-masked. The valid classes are the template; what they leave open is slots: those between frame tokens (trails, link lists,
+class. A second pass places the tokens that recur on pages of different titles: a class is ordered if its tokens stand in one order on all
+its pages, in one gap of the enclosing class, the one on most of the site's pages. An ordered class of two tokens and more is valid template
+material if some of it lies in the frame, that is, before a page's first heading or after its last surely own line; a token without such a
+class must lie there itself, mostly, on its site or over all sites. Tokens too thin on one site are found across sites, by the same test over all of them, since the site's
+name is masked. The valid classes are the template; what they leave open is slots: those between frame tokens (trails, link lists,
 neighbour links) belong to the frame, the one from the first heading or own sentence to the last is the main body, with frame
 runs inside it cut out.
 """
@@ -30,14 +32,16 @@ from .words import mix
 class FrameParams:
     """A token must recur under different titles, on a share of its site's pages, and lie in frame zones with a share of its occurrences.
 
-    Lines that read like sentences need more of each than labels, which hardly recur in main bodies.
+    Lines that read like sentences need more of each than labels. Labels of an ordered class share its occurrences; `frame_share_alone` is for
+    labels without one, and across sites, where a token must also be on `least_share` (`least_share_prose`) of the pages of the sites that have it.
     """
 
     least_titles: int = 3
     least_titles_prose: int = 5
     least_share: float = 0.001
     least_share_prose: float = 0.01
-    frame_share: float = 0.0
+    frame_share: float = 0.05
+    frame_share_alone: float = 0.5
     frame_share_prose: float = 0.5
     least_sites: int = 3
     wide_sites: int = 8
@@ -111,6 +115,10 @@ class Reader:
             s = _LINK.sub("]()", s)
         return _DIGITS.sub("0", s)
 
+    def token(self, line: str) -> int:
+        known = self.memo.get(line)
+        return known.token if known else xxhash.xxh3_64_intdigest(self.masked(line)) - (1 << 63)
+
     def __call__(self, line: str) -> Line:
         known = self.memo.get(line)
         if known is None:
@@ -122,7 +130,7 @@ class Reader:
         return known
 
     def read(self, line: str) -> Line:
-        token = xxhash.xxh3_64_intdigest(self.masked(line)) - (1 << 63)
+        token = self.token(line)
         words = len(_WORD.findall(_LINK.sub("]", line)))
         ends = _END.search(line) is not None
         prose = (words >= 9 or (words >= 4 and ends)) and (ends or not _TRAIL.search(line))
@@ -167,17 +175,14 @@ def line_kinds(lines: list[str]) -> list[str]:
 
 
 def _count_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per site and token of a batch: pages, titles as a 64-bit linear counter, occurrence vector, and occurrences by zone."""
+    """Per site and token of a batch: pages, titles as a 64-bit linear counter, and occurrence vector."""
     acc: dict[tuple[int, int], list[int]] = {}
     for item, site, brand, text in zip(pdf["item_id"], pdf["site"], pdf["brand"], pdf["text"], strict=True):
         lines = text.split("\n")
         kinds = line_kinds(lines)
         words = [x.count(" ") + 1 for x in lines]
-        sure = [i for i, k in enumerate(kinds) if k in ("heading", "table", "code") or (k == "text" and words[i] >= 25)]
-        heads = [i for i, k in enumerate(kinds) if k == "heading"]
-        first = heads[0] if heads else (sure[0] if sure else len(lines))
-        last = sure[-1] if sure else -1
-        title = xxhash.xxh3_64_intdigest(lines[first].lower() if heads else text)
+        heading = next((x for x, k in zip(lines, kinds, strict=True) if k == "heading"), text)
+        title = xxhash.xxh3_64_intdigest(heading if heading is text else heading.lower())
         page = xxhash.xxh3_64_intdigest(str(item))
         own: dict[int, list[int]] = {}
         read = reader(brand)
@@ -186,25 +191,58 @@ def _count_batch(pdf: pd.DataFrame) -> pd.DataFrame:
                 fact = read(x)
                 z = own.get(fact.token)
                 if z is None:
-                    z = own[fact.token] = [0, 0, int(fact.prose)]
+                    z = own[fact.token] = [0, int(fact.prose)]
                 z[0] += 1
-                z[1] += i < first or i > last
-        own[0] = [1, 0, 1]  # counts the site's pages
+        own[0] = [1, 1]  # counts the site's pages
         bit = 1 << (title & 63)
-        for t, (n, framed, prose) in own.items():
+        for t, (n, prose) in own.items():
             a = acc.get((site, t))
             v = (page * 0x9E3779B97F4A7C15 + n * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
             v = ((v ^ (v >> 31)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
             if a is None:
-                acc[(site, t)] = [1, bit, v, n, framed, prose]
+                acc[(site, t)] = [1, bit, v, prose]
             else:
                 a[0] += 1
                 a[1] |= bit
                 a[2] ^= v
-                a[3] += n
-                a[4] += framed
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    return pd.DataFrame([(s, t, a[0], signed(a[1]), signed(a[2]), a[3], a[4], a[5]) for (s, t), a in acc.items()], columns=["site", "token", "pages", "titles", "vector", "seen", "framed", "prose"])
+    return pd.DataFrame([(s, t, a[0], signed(a[1]), signed(a[2]), a[3]) for (s, t), a in acc.items()], columns=["site", "token", "pages", "titles", "vector", "prose"])
+
+
+def _place_batch(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
+    """Per site and candidate token of a batch: occurrences, those in frame zones, and the range of its class's place on a page.
+
+    A place is the order of the class's tokens and the gap of the enclosing class they stand in, hashed; it is constant if the range is one value.
+    """
+    acc: dict[tuple[int, int], list[int]] = {}
+    for site, brand, text in zip(pdf["site"], pdf["brand"], pdf["text"], strict=True):
+        lines = text.split("\n")
+        kinds = line_kinds(lines)
+        read = reader(brand)
+        texts = [i for i, k in enumerate(kinds) if k == "text"]
+        tokens = [read.token(lines[i]) for i in texts]
+        classes = known.classes_of(site, tokens)
+        listed = {i for i, c in zip(texts, classes, strict=True) if c is not None}
+        sure = [i for i, k in enumerate(kinds) if k in ("heading", "table", "code") or (k == "text" and i not in listed and ((n := lines[i].count(" ")) >= 24 or (n >= 3 and _END.search(lines[i]))))]
+        heads = [i for i, k in enumerate(kinds) if k == "heading"]
+        first = heads[0] if heads else (sure[0] if sure else len(lines))
+        last = sure[-1] if sure else -1
+        order: dict[int, list[int]] = {}
+        gap = 0
+        for i, t, c in zip(texts, tokens, classes, strict=True):
+            if c is None:
+                continue
+            cls, enclosing = c
+            gap += enclosing
+            order.setdefault(cls, []).extend((t,) if enclosing else (t, gap))
+            a = acc.setdefault((site, t), [0, 0, 1 << 63, -(1 << 63)])
+            a[0] += 1
+            a[1] += i < first or i > last
+        for t, (cls, _) in {t: c for t, c in zip(tokens, classes, strict=True) if c is not None}.items():
+            a = acc[(site, t)]
+            place = hash(tuple(order[cls]))
+            a[2], a[3] = min(a[2], place), max(a[3], place)
+    return pd.DataFrame([(s, t, *a) for (s, t), a in acc.items()], columns=["site", "token", "seen", "framed", "low", "high"])
 
 
 @dataclass
@@ -219,6 +257,17 @@ class Templates:
     wide: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     by_site: DataFrame | None = None
     params: FrameParams = FrameParams()
+    #: While templates are deduced: class, and whether it is the enclosing one, of each of `site_tokens`.
+    classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    enclosing: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+
+    def classes_of(self, site: int, tokens: list[int]) -> list[tuple[int, bool] | None]:
+        if not tokens or not len(self.site_tokens):
+            return [None] * len(tokens)
+        t = np.array(tokens, np.int64)
+        key = site_token(np.full(len(t), site, np.int64), t)
+        at = np.minimum(np.searchsorted(self.site_tokens, key), len(self.site_tokens) - 1)
+        return [(c, e) if x else None for x, c, e in zip(self.site_tokens[at] == key, self.classes[at].tolist(), self.enclosing[at].tolist(), strict=True)]
 
     def has(self, site: int, tokens: list[int]) -> np.ndarray:
         if not tokens:
@@ -229,7 +278,7 @@ class Templates:
     def apply(self, pages: DataFrame, run: Callable[[pd.DataFrame, Templates], pd.DataFrame], schema: str) -> DataFrame:
         """run(pages, templates) over all pages, by batch, or by site where the templates are not sent to every task."""
         if self.by_site is None:
-            sent = pages.sparkSession.sparkContext.broadcast((self.shared, self.site_tokens, self.wide))
+            sent = pages.sparkSession.sparkContext.broadcast((self.shared, self.site_tokens, self.wide, None, self.params, self.classes, self.enclosing))
 
             def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 known = Templates(*sent.value)
@@ -245,11 +294,20 @@ class Templates:
 
         def group(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             tokens = b["token"].to_numpy(np.int64)
+            if "cls" in b:
+                return run(a, candidates(b))
             return run(a, Templates(np.sort(tokens[b["nests"].to_numpy(bool)]), wide=np.sort(tokens[b["wide"].to_numpy(bool)])))
 
         return left.groupBy("site", "salt").cogroup(right.groupBy("site", "salt")).applyInPandas(group, schema)
 
 
+def candidates(rows: pd.DataFrame) -> Templates:
+    """The tokens to place, of (site, token, cls, enclosing)."""
+    key = site_token(rows["site"].to_numpy(np.int64), rows["token"].to_numpy(np.int64))
+    order = np.argsort(key)
+    return Templates(site_tokens=key[order], classes=rows["cls"].to_numpy(np.int64)[order], enclosing=rows["enclosing"].to_numpy(bool)[order])
+
+
 def site_token(site: np.ndarray, tok: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (mix(site.astype(np.uint64), 1) ^ tok.astype(np.uint64)).astype(np.int64)
@@ -269,19 +327,34 @@ def member(table: np.ndarray, value: int) -> bool:
 def deduce_templates(pages: DataFrame, params: FrameParams = FrameParams()) -> Templates:
     """The template of each site of (item_id, site, brand, text)."""
     p = params
-    counted = pages.mapInPandas(lambda it: (_count_batch(x) for x in it), "site bigint, token bigint, pages bigint, titles bigint, vector bigint, seen bigint, framed bigint, prose int")
-    per = counted.groupBy("site", "token").agg(F.sum("pages").alias("pages"), F.bit_or("titles").alias("titles"), F.bit_xor("vector").alias("vector"), F.sum("seen").alias("seen"), F.sum("framed").alias("framed"), F.max("prose").alias("prose"))
+    counted = pages.mapInPandas(lambda it: (_count_batch(x) for x in it), "site bigint, token bigint, pages bigint, titles bigint, vector bigint, prose int")
+    per = counted.groupBy("site", "token").agg(F.sum("pages").alias("pages"), F.bit_or("titles").alias("titles"), F.bit_xor("vector").alias("vector"), F.max("prose").alias("prose"))
     everything = cut_lineage(per)
     per, size = everything.where("token <> 0"), everything.where("token = 0").select("site", F.col("pages").alias("n"))
     by_kind = lambda prose, label: F.when(F.col("prose") == 1, prose).otherwise(label)
-    enough = (F.bit_count("titles") >= by_kind(p.least_titles_prose, p.least_titles)) & (F.col("pages") >= F.col("n") * by_kind(p.least_share_prose, p.least_share))
-    nests = F.col("f") >= F.col("s") * by_kind(p.frame_share_prose, p.frame_share)
-    often = per.where("pages >= 2").join(size, "site").where(enough)
-    # Equivalence classes, their validity, and back to their tokens.
-    classes = often.groupBy("site", "pages", "vector", "prose").agg(F.sum("seen").alias("s"), F.sum("framed").alias("f")).where(nests)
-    by_site = often.join(classes.select("site", "pages", "vector", "prose"), ["site", "pages", "vector", "prose"], "left_semi").select("site", "token")
-    shared = per.groupBy("token").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("seen").alias("s"), F.sum("framed").alias("f"), F.max("prose").alias("prose"))
-    shared = cut_lineage(shared.where((F.col("sites") >= p.least_sites) & (F.col("pages") > p.least_titles)).select("token", nests.alias("nests"), (F.col("sites") >= p.wide_sites).alias("wide")))
+    enough = F.col("pages") >= F.col("n") * by_kind(p.least_share_prose, p.least_share)
+    often = per.where("pages >= 2").join(size, "site").where(enough & (F.bit_count("titles") >= by_kind(p.least_titles_prose, p.least_titles))).select("site", "token", "vector", "pages")
+    across = per.join(size, "site").groupBy("token").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.max("prose").alias("prose"))
+    across = cut_lineage(across.where((F.col("sites") >= p.least_sites) & (F.col("pages") > p.least_titles)).select("token", enough.alias("enough"), "prose", (F.col("sites") >= p.wide_sites).alias("wide")))
+    # Equivalence classes on a site; the one on most pages, of two tokens at least, encloses the others. Tokens that are thin there have none.
+    classes = often.groupBy("site", "pages", "vector").agg(F.count("*").alias("tokens"))
+    outer = classes.where("tokens > 1").groupBy("site").agg(F.max_by("vector", F.struct("pages", "tokens", "vector")).alias("outer"))
+    found = often.join(classes, ["site", "pages", "vector"]).join(outer, "site", "left").select("site", "token", F.col("vector").alias("cls"), "tokens", F.coalesce(F.col("vector") == F.col("outer"), F.lit(False)).alias("enclosing"))
+    thin = per.join(across, "token", "left_semi").join(often, ["site", "token"], "left_anti").select("site", "token", F.col("token").alias("cls"), F.lit(0).alias("tokens"), F.lit(False).alias("enclosing"))
+    listed = cut_lineage(found.unionByName(thin))
+    sent = listed.select("site", "token", "cls", "enclosing")
+    placing = candidates(sent.toPandas()) if listed.count() <= p.broadcast_tokens else Templates(by_site=sent, params=p)
+    placed = placing.apply(pages, _place_batch, "site bigint, token bigint, seen bigint, framed bigint, low bigint, high bigint")
+    placed = placed.groupBy("site", "token").agg(F.sum("seen").alias("s"), F.sum("framed").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"))
+    placed = cut_lineage(placed.join(listed, ["site", "token"]).join(per.select("site", "token", "prose"), ["site", "token"]))
+    # Validity: of ordered classes as a whole, of other tokens alone, and across sites.
+    nests = F.col("f") >= F.col("s") * by_kind(p.frame_share_prose, p.frame_share_alone)
+    own = placed.where("tokens > 0")
+    ordered = own.groupBy("site", "cls").agg(F.count("*").alias("members"), F.sum("s").alias("cs"), F.sum("f").alias("cf"), (F.max("high") == F.min("low")).alias("ordered")).where("members > 1 and ordered").where(F.col("cf") >= F.col("cs") * p.frame_share)
+    shares = cut_lineage(placed.groupBy("token").agg(F.sum("s").alias("s"), F.sum("f").alias("f"), F.max("prose").alias("prose")))
+    by_site = own.join(ordered.select("site", "cls", F.lit(True).alias("whole")), ["site", "cls"], "left").join(shares.select("token", nests.alias("elsewhere")), "token")
+    by_site = by_site.where(nests | F.col("elsewhere") | (F.col("whole") & (F.col("prose") == 0))).select("site", "token")
+    shared = cut_lineage(across.join(shares.drop("prose"), "token").select("token", (F.col("enough") & nests).alias("nests"), "wide"))
     by_site = cut_lineage(by_site)
     if shared.count() + by_site.count() > p.broadcast_tokens:
         # Shared tokens go to the sites that have them, so both kinds reach a page with its site.

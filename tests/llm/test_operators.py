@@ -159,6 +159,20 @@ def test_frames_are_deduced(spark):
     assert boilerplate.frame_lines(df.limit(0), "k", "url", "body").count() == 0
 
 
+def test_labels_of_bodies_are_no_template(spark):
+    rows = site()
+    for i, (k, url, text) in enumerate(rows):
+        if i % 3:  # a class of two labels that stands only in bodies
+            text = text.replace("Edit this page", f"Edit this page\n\nParameters\n\nThe {'abcdefghijkl'[i]} parameter sets how many of the things are built at once.\n\nReturns\n\nIt returns what the call number {'abcdefghijkl'[i]} has built and shown.")
+            rows[i] = (k, url, text)
+    far = [(100 + i, f"https://h{i}.example/p", f"# Part {'abcdefghijkl'[i]}\n\nThe own sentence of part {'abcdefghijkl'[i]} of this manual.\n\nCaveats\n\nAnother own sentence about {'abcdefghijkl'[i]} in this manual.") for i in range(6)]
+    df = spark.createDataFrame([*rows, *far], "k bigint, url string, body string")
+    for p in (boilerplate.FrameParams(), boilerplate.FrameParams(broadcast_tokens=1)):
+        bodies = {r.item_id: r.body for r in boilerplate.main_bodies(df, "k", "url", "body", p).collect()}
+        assert all("Parameters" in bodies[i] and "Returns" in bodies[i] for i in range(12) if i % 3)
+        assert not any("Edit this page" in bodies[i] for i in range(12)) and all("Caveats" in bodies[100 + i] for i in range(6))
+
+
 def test_templates_by_site_equal_those_sent(spark, sf):
     scrapes = spark.read.parquet(f"{sf}/scrape_results.parquet")
     rows = lambda p: {tuple(r) for r in boilerplate.frame_lines(scrapes, "result_id", "url", "text_content", p).collect()}
