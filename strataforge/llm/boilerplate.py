@@ -43,6 +43,7 @@ class FrameParams:
     frame_share: float = 0.05
     frame_share_alone: float = 0.5
     frame_share_prose: float = 0.5
+    few_pages: int = 100  # pages of a site below which FRAME_WORDS help: a sentence on one page in twenty has five titles from there on
     least_sites: int = 3
     wide_sites: int = 8
     broadcast_tokens: int = 4_000_000  # template tokens sent to every task (8 bytes each); beyond it they are grouped with the pages by site
@@ -58,7 +59,7 @@ _TRAIL = re.compile(r"\S\s(?:›|>|»|/|→|::|·|\|)\s\S")
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 _END = re.compile(r"[.!?:;…][\"')\]`*_]*\s*$")
-#: Words that mark frame lines where a site has too few pages to deduce them.
+#: Words that mark frame lines around the body on sites of fewer than `few_pages` pages.
 FRAME_WORDS = re.compile(
     r"(?:we|you|site|website|partners|us|guardamos|utilise|déposons|verwendet|speichern|usa)\b.{0,60}\bcookies\b|^\W*cookies? (?:let|help|preferences)|\]?\s*cookies let|©|\(c\) ?\d{4}|copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos|newsletter|sponsored:|last updated|zuletzt geändert|dernière mise à jour|última actualización"
     r"|was this page helpful|war diese seite hilfreich|page vous a-t-elle aidé|le ha sido útil|skip to (?:main )?content|back to top|stores small files on your device|site needs scripts",
@@ -93,7 +94,8 @@ class Line:
     prose: bool
     message: bool
     notice: bool
-    framed: bool  # by its words or arrows alone
+    framed: bool  # by its arrows alone
+    phrase: bool
     quoted: bool
 
 
@@ -135,8 +137,9 @@ class Reader:
         ends = _END.search(line) is not None
         prose = (words >= 9 or (words >= 4 and ends)) and (ends or not _TRAIL.search(line))
         message = is_message(line, words)
-        framed = words <= 25 and ((words <= 12 and _ARROW.search(line) is not None) or FRAME_WORDS.search(line) is not None)
-        return Line(token, words, prose, message, message and is_script_notice(line), framed, line.lstrip().startswith(">"))
+        framed = words <= 12 and _ARROW.search(line) is not None
+        phrase = words <= 25 and FRAME_WORDS.search(line) is not None
+        return Line(token, words, prose, message, message and is_script_notice(line), framed, phrase, line.lstrip().startswith(">"))
 
 
 _READERS: dict[str, Reader] = {}
@@ -247,7 +250,7 @@ def _place_batch(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
 
 @dataclass
 class Templates:
-    """Template tokens: `site_tokens` hold mix(site, token), `shared` those found across sites; or a table of them by site where there are too many.
+    """Template tokens: `site_tokens` hold mix(site, token), token 0 on sites of `few_pages` and more, `shared` those found across sites; or a table of them by site where there are too many.
 
     `wide` are the tokens of any kind that many sites share.
     """
@@ -355,7 +358,7 @@ def deduce_templates(pages: DataFrame, params: FrameParams = FrameParams()) -> T
     by_site = own.join(ordered.select("site", "cls", F.lit(True).alias("whole")), ["site", "cls"], "left").join(shares.select("token", nests.alias("elsewhere")), "token")
     by_site = by_site.where(nests | F.col("elsewhere") | (F.col("whole") & (F.col("prose") == 0))).select("site", "token")
     shared = cut_lineage(across.join(shares.drop("prose"), "token").select("token", (F.col("enough") & nests).alias("nests"), "wide"))
-    by_site = cut_lineage(by_site)
+    by_site = cut_lineage(by_site.unionByName(size.where(F.col("n") >= p.few_pages).select("site", F.lit(0).cast("bigint").alias("token"))))
     if shared.count() + by_site.count() > p.broadcast_tokens:
         # Shared tokens go to the sites that have them, so both kinds reach a page with its site.
         own = by_site.withColumns({"nests": F.lit(True), "wide": F.lit(False)})
@@ -386,8 +389,9 @@ def read_page(text: str, brand: str, site: int, templates: Templates) -> Page:
     known = np.zeros(n, bool)
     known[texts] = templates.has(site, [facts[i].token for i in texts])
     own = np.array([k in ("heading", "table", "code") for k in kinds])  # surely content
+    few = not templates.has(site, [0])[0]
     prose = False
-    messages = []
+    messages, phrases = [], []
     for i in texts:
         fact = facts[i]
         if fact.message:
@@ -396,6 +400,8 @@ def read_page(text: str, brand: str, site: int, templates: Templates) -> Page:
             continue
         elif fact.framed:
             known[i] = True
+        elif few and fact.phrase:
+            phrases.append(i)
         elif fact.prose or fact.quoted or has_placeholder(lines[i]):
             own[i] = prose = True
     for i in messages:
@@ -403,6 +409,9 @@ def read_page(text: str, brand: str, site: int, templates: Templates) -> Page:
         framed = prose and (bool(known[i]) or facts[i].notice)
         own[i], known[i] = not framed, framed
     sure = np.nonzero(own)[0]
+    for i in phrases:
+        known[i] = not len(sure) or not sure[0] < i < sure[-1]
+        own[i] = not known[i] and facts[i].prose
     if not len(sure):
         rest = [i for i in texts if not known[i]]
         body = set(rest if len(rest) == len(texts) else [])

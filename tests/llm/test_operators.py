@@ -173,6 +173,16 @@ def test_labels_of_bodies_are_no_template(spark):
         assert not any("Edit this page" in bodies[i] for i in range(12)) and all("Caveats" in bodies[100 + i] for i in range(6))
 
 
+def test_frame_words_count_only_around_bodies_of_small_sites(spark):
+    text = "We use cookies {0}\n\n# Headers {0}\n\nThe {0} header is described in many own words here.\n\nWe keep {0} session cookies until the copyright header says so.\n\nThe end of the {0} page has other own words again.\n\nCopyright of {0}, all rights reserved."
+    names = [chr(97 + i % 26) * (1 + i // 26) for i in range(130)]
+    rows = [(i, "https://few.example/p" if i < 4 else "https://many.example/p", text.format(names[i])) for i in range(130)]
+    got = {}
+    for r in boilerplate.frame_lines(spark.createDataFrame(rows, "k bigint, url string, body string"), "k", "url", "body").collect():
+        got.setdefault(r.item_id, set()).add(r.line_no)
+    assert all(got[i] == {0, 10} for i in range(4)) and not any(6 in v for v in got.values()) and not any(10 in got.get(i, ()) for i in range(4, 130))
+
+
 def test_templates_by_site_equal_those_sent(spark, sf):
     scrapes = spark.read.parquet(f"{sf}/scrape_results.parquet")
     rows = lambda p: {tuple(r) for r in boilerplate.frame_lines(scrapes, "result_id", "url", "text_content", p).collect()}
