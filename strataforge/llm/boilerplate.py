@@ -1,6 +1,6 @@
 """Page frames by equivalence classes of tokens over the pages of a site.
 
-The token of a line is its masked form (numbers, link targets and the site's own name left out). Over a site's pages a token has an
+The token of a line is its masked form (numbers, dates, addresses, link targets and the site's own name left out). Over a site's pages a token has an
 occurrence vector, held as a 64-bit exclusive-or over (page, count); tokens with equal vectors form an equivalence
 class. A second pass places the tokens that recur on pages of different titles: a class is ordered if its tokens stand in one order on all
 its pages, in one gap of the enclosing class, the one on most of the site's pages. An ordered class of two tokens and more is valid template
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .messages import has_placeholder, is_message, is_script_notice
+from .messages import has_placeholder, is_message, is_script_notice, masked
 from .words import mix
 
 
@@ -57,7 +57,6 @@ _BULLET = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 _ARROW = re.compile(r"^\s*(?:←|«|‹|<<|<-)\s|\s(?:→|»|›|>>|->)\s*$")
 _TRAIL = re.compile(r"\S\s(?:›|>|»|/|→|::|·|\|)\s\S")
 _WORD = re.compile(r"[^\W_]+")
-_DIGITS = re.compile(r"\d+")
 _END = re.compile(r"[.!?:;…][\"')\]`*_]*\s*$")
 #: Words that mark frame lines around the body on sites of fewer than `few_pages` pages.
 FRAME_WORDS = re.compile(
@@ -115,7 +114,7 @@ class Reader:
             s = self.name.sub("§", s)
         if "](" in s:
             s = _LINK.sub("]()", s)
-        return _DIGITS.sub("0", s)
+        return masked(s)
 
     def token(self, line: str) -> int:
         known = self.memo.get(line)

@@ -85,6 +85,21 @@ PLACEHOLDER = re.compile(
     r"|@@\w[\w.]{0,40}@@|(?<![\w.])__[A-Z][A-Z0-9_]*__(?!\w)|\(\(\([^()\n]{1,60}\)\)\)|\[\[[^\[\]\n]{1,80}\]\]|<(?:your|insert|enter)[-_ ][\w -]{1,40}>|<[\w]+(?:[-_ ][\w]+)*[-_ ]here>"
     r"|\[(?:YOUR|INSERT|ENTER|ADD|REPLACE|FILL)[ _][^\[\]\n]{1,60}\](?!\()|\[[A-Z][A-Z _]{0,40} HERE\]|\[(?:your|insert|enter) [^\[\]\n]{1,60}\](?!\()"
 )
+#: What short lines and titles that recur across sites end with if they are messages, by language.
+_STATES = re.compile(
+    r"(?:\b(?:not found|not available|(?:cannot|can't|could not) be (?:found|reached|loaded|displayed)|unavailable|denied|forbidden|expired|timed out|no longer (?:available|exists?)|try again(?: later)?|(?:been|was|were) (?:moved|deleted|removed)|went wrong|come back later|please wait"
+    r"|nicht (?:gefunden|verfügbar|erreichbar|geladen werden)|(?:zugriff|zugang) verweigert|abgelaufen|schiefgelaufen|(?:später )?erneut versuchen|bitte warten"
+    r"|introuvable|indisponible|n'existe (?:pas|plus)|accès (?:refusé|interdit)|expirée?|(?:réessayer|plus tard)|veuillez patienter"
+    r"|no (?:se )?(?:ha sido |se ha |fue )?encontrad[ao]|no (?:está )?disponible|no existe|acceso denegado|(?:ha )?(?:caducado|expirado)|más tarde|espere"
+    r"|não (?:foi )?encontrad[ao]|indisponível|não existe|acesso negado|expirou|mais tarde|aguarde"
+    r"|niet (?:gevonden|beschikbaar)|toegang geweigerd|verlopen|later opnieuw|even geduld"
+    r"|non (?:è )?(?:stata )?(?:trovat[ao]|disponibile)|accesso negato|scadut[ao]|più tardi|attendere)|(?:见つかりません|見つかりません|未找到|不存在|не найден[ао]?|недоступн[аоы]?))\W*$",
+    re.I,
+)
+_MONTHS = r"(?:jan|feb|mar|mär|apr|may|mai|jun|jul|aug|sep|oct|okt|nov|dec|dez|ene|abr|ago|dic|janv|févr|fév|avr|juin|juil|août|déc|set|out|fev|mrt|mei)[^\W\d_]{0,7}\.?"
+_ADDRESS = re.compile(r"\b(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>()\[\]\"']+|[\w.+-]+@[\w§-]+(?:\.[\w§-]+)+")
+_DATE = re.compile(rf"\b0(?:st|nd|rd|th|er|\.|º)?(?: de)? {_MONTHS}(?:,?(?: de)? 0)?\b|\b{_MONTHS} 0(?:st|nd|rd|th)?(?:, ?0)?\b|\b0([-/.])0\1 ?0\b")
+_NUMBER = re.compile(r"\d+")
 _CODE_SPAN = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 _MESSAGE = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES + ERROR_LINES + FILLER_LINES))
 _SCRIPT = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES))
@@ -102,6 +117,20 @@ def normalise(line: str) -> str:
     return re.sub(r"\d+", "0", line.strip(_TRIM).lower())
 
 
+def masked(line: str) -> str:
+    """A line in lower case without its addresses, dates and numbers."""
+    s = line.strip().lower()
+    if "://" in s or "@" in s or "www." in s:
+        s = _ADDRESS.sub("@", s)
+    bare = _NUMBER.sub("0", s)
+    return _DATE.sub("0", bare) if bare != s or "0" in s else s
+
+
+def ends_in_state(line: str) -> bool:
+    """What a message ends with; by itself no proof, since own titles may end so too."""
+    return _STATES.search(line) is not None
+
+
 def is_filler_latin(line: str) -> bool:
     words = _WORD.findall(line.lower())
     return len(words) >= FILLER_WORDS and sum(w in FILLER_LATIN for w in words) >= FILLER_SHARE * len(words)

@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = residue.residue_pages(table(spark, d, "scrape_results"), "result_id", "url", "text_content")
-    titles = residue.residue_titles(table(spark, d, "search_results"), "hit_id", "title")
+    titles = residue.residue_titles(table(spark, d, "search_results"), "hit_id", "title", "url")
     return pages.select(F.lit("scrape").alias("src"), "item_id").unionByName(titles.select(F.lit("search").alias("src"), "item_id"))
 
 

@@ -10,18 +10,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import boilerplate
 from .boilerplate import FrameParams, Templates
-from .messages import PLACEHOLDER, bad_title, has_placeholder
+from .messages import PLACEHOLDER, bad_title, ends_in_state, has_placeholder, masked
 
 #: Cues that make a short line recurring on many sites a message.
 _CUES = re.compile(r"error|not found|unavailable|denied|expired|missing|scripts?\b|javascript|placeholder|goes here|moved|deleted|removed|try again|come back|later|wait|sorry|oops|cannot|could not|broken|soon", re.I)
+_SITE_NAME = re.compile(r"\s+[|–—·-]\s+[^|–—·]{1,40}$")
 WEAK_WORDS = 14
+TITLE_WORDS = 8
 
 
 def page_residue(text: str, site: int, brand: str, templates: Templates) -> str | None:
@@ -33,7 +36,7 @@ def page_residue(text: str, site: int, brand: str, templates: Templates) -> str
     if any(f.message for _, f in body):
         return "message"
     # A line that many sites share, standing nearly alone where content should be.
-    if 0 < len(body) <= 3 and any(f.words <= WEAK_WORDS and _CUES.search(x) and boilerplate.member(templates.wide, f.token) for x, f in body):
+    if 0 < len(body) <= 3 and any(f.words <= WEAK_WORDS and (_CUES.search(x) or ends_in_state(x)) and boilerplate.member(templates.wide, f.token) for x, f in body):
         return "message"
     return None
 
@@ -54,16 +57,44 @@ def residue_pages(df: DataFrame, item_id: str, url: str, text: str, frame: Frame
     return boilerplate.deduce_templates(pages, frame).apply(pages, run, f"item_id {kind}, reason string").dropDuplicates(["item_id"])
 
 
-def residue_titles(df: DataFrame, item_id: str, title: str) -> DataFrame:
-    """(item_id) of titles that are residue; null and blank titles are not, re-delivered ids count once."""
+def residue_titles(df: DataFrame, item_id: str, title: str, url: str | None = None, wide_sites: int = FrameParams.wide_sites) -> DataFrame:
+    """(item_id) of titles that are residue; null and blank titles are not, re-delivered ids count once.
+
+    Short titles that end like a message in any of the languages are residue if their masked form, without the source's own name, stands on
+    `wide_sites` sources (hosts of `url`) and more. Rows without an address are on no source.
+    """
     kind = dict(df.dtypes)[item_id]
+    host, brand = boilerplate.site_columns(F.col(url)) if url else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, bool] = {}
+        memo: dict[str, tuple[bool, bool]] = {}
         for pdf in it:
             if len(memo) > 200_000:
                 memo.clear()
-            bad = [memo[t] if t in memo else memo.setdefault(t, bad_title(t)) for t in pdf["title"]]
-            yield pd.DataFrame({"item_id": pdf["item_id"][np.array(bad, bool)]})
-
-    return df.select(F.col(item_id).alias("item_id"), F.col(title).cast("string").alias("title")).where(F.col("title").isNotNull()).mapInPandas(run, f"item_id {kind}").dropDuplicates(["item_id"])
+            out = []
+            for i, t, h, b in zip(pdf["item_id"], pdf["title"], pdf["host"], pdf["brand"], strict=True):
+                if t not in memo:
+                    bad = bad_title(t)
+                    memo[t] = bad, not bad and t.count(" ") < TITLE_WORDS + 4
+                bad, weak = memo[t]
+                if bad:
+                    out.append((i, True, None, None))
+                elif weak and h and (token := title_token(t, b or "")) is not None:
+                    out.append((i, False, token, h))
+            yield pd.DataFrame(out, columns=["item_id", "bad", "token", "host"]).astype({"token": "Int64"})
+
+    rows = df.select(F.col(item_id).alias("item_id"), F.col(title).cast("string").alias("title"), host.alias("host"), brand.alias("brand")).where(F.col("title").isNotNull())
+    rows = cut_lineage(rows.mapInPandas(run, f"item_id {kind}, bad boolean, token bigint, host string"))
+    wide = rows.where("not bad").select("token", "host").distinct().groupBy("token").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= wide_sites)
+    return rows.where("bad").select("item_id").unionByName(rows.where("not bad").join(wide, "token", "left_semi").select("item_id")).dropDuplicates(["item_id"])
+
+
+def title_token(title: str, brand: str) -> int | None:
+    """The hash of a short title's masked form without a site's name at its end; None if it does not end like a message."""
+    bare = _SITE_NAME.sub("", title.strip().lower())
+    if bare.count(" ") >= TITLE_WORDS or not ends_in_state(bare):
+        return None
+    if brand and brand in bare:
+        bare = re.sub(rf"(?<!\w){re.escape(brand)}(?!\w)", "§", bare)
+    bare = masked(bare)
+    return xxhash.xxh3_64_intdigest(bare) - (1 << 63)

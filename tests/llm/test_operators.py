@@ -199,6 +199,19 @@ def test_residue_pages(spark):
     assert [r.item_id for r in residue.residue_titles(t, "k", "title").collect()] == [1]
 
 
+def test_titles_are_counted_across_sources(spark):
+    rows = [(i, f"https://docs.h{i}x.example/p", f"Dienst {i} von h{i}x zurzeit nicht verfügbar - h{i}x") for i in range(8)]
+    rows += [(20 + i, f"https://h{i}x.example/p", f"Kanal {'abcdefgh'[i]} nicht verfügbar") for i in range(8)] + [(40 + i, "https://one.example/p", "Quelle nicht verfügbar") for i in range(9)]
+    rows += [(60 + i, f"https://h{i}x.example/p", "Handling a missing page") for i in range(9)] + [(80, None, "Dienst 1 von § zurzeit nicht verfügbar")]
+    got = residue.residue_titles(spark.createDataFrame(rows, "k bigint, u string, t string"), "k", "t", "u").collect()
+    assert sorted(r.item_id for r in got) == list(range(8))
+
+
+def test_addresses_and_dates_are_masked():
+    pairs = [("Updated on 3 March 2024", "updated on 12. Okt. 2023"), ("See https://a.example/x?y=1 now", "see http://b.example now"), ("Write to me@a.example", "write to you@b.example"), ("On 2024-01-31", "on 3 May 2021")]
+    assert all(messages.masked(a) == messages.masked(b) for a, b in pairs) and messages.masked("May I ask") == "may i ask"
+
+
 # --- 4: near-copies
 def corpus(seed=5, n=160):
     rng = random.Random(seed)
