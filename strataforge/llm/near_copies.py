@@ -9,7 +9,8 @@ One grid over the whole vector prunes little at t = 0.6 (the allowed distance is
 a band is a slice of the hash space holding about `per_band` bits of a text, itself cut into segments, and its vector of counts is
 the grid cell. Two near-copies have, in each band, the same counts with probability around exp(-changed bits in it), so over
 `bands` bands they meet in a cell almost surely (tests and the README give the measured recall). Texts meet only in size
-classes whose bounds keep any qualifying pair together. Texts with equal shingle sets are joined once, as a class.
+classes whose bounds keep any qualifying pair together. Bands say little of sets of a few shingles; those meet in a cell for each shingle, which
+misses no pair. Equal texts are joined once, as a class; other texts with equal shingle sets have equal cells and are linked.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ class CopyParams:
     shingle: int = 5
     similarity: float = 0.8
     least_words: int = 5
-    bands: int = 64
+    bands: int = 96
     per_band: float = 5.0
     least_bits: int = 3  # cells of fewer bits would hold unrelated texts that share a stock phrase
+    few_shingles: int = 8  # sets up to this size are joined by shingle
     band_segments: int = 256
     entries_per_part: int = 1_500_000  # cell entries sorted together in one task
     hot_cell: int = 3_000  # texts in one cell beyond which its pairs are made by a shuffle join instead
@@ -131,10 +133,11 @@ def _emit_cells(it: Iterator[pd.DataFrame], parts: int, p: CopyParams) -> Iterat
             sizes = np.array([len(s) for _, s in kept])
             flat, owner = np.concatenate([s for _, s in kept]), np.repeat(np.arange(len(kept)), sizes)
             level = size_class(sizes, p.similarity)
-            who, cell = [], []
+            few = np.nonzero((sizes <= p.few_shingles / p.similarity + 1e-9)[owner])[0]
+            who, cell = [owner[few].astype(np.uint16) | np.uint16(1 << 15)], [mix(flat[few], p.seed)]
             for c in np.unique(np.concatenate([level, level + 1])):
                 for home in (True, False):  # as host of its own class and as guest of the next
-                    inside = level == c - (not home)
+                    inside = (level == c - (not home)) & (sizes > p.few_shingles)
                     if inside.any():
                         number = np.cumsum(inside) - 1
                         on = inside[owner]

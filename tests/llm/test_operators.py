@@ -252,6 +252,16 @@ def test_near_copies_equal_brute_force(spark, shingle, similarity, hot):
     assert near_copies.near_copies(df.limit(0), "k", "body", p)[1].count() == 0
 
 
+def test_near_copies_of_few_shingles(spark):
+    texts = ["word " * 25, "Word, " * 20, "one two " * 12, "One two! " * 11, "a b c " * 8, "a b c " * 8 + "d", "A b c " * 9, "x y z " * 8 + "q r", "x y z " * 8 + "q s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, body string")
+    for hot in (3000, 1):
+        p = near_copies.CopyParams(shingle=3, similarity=0.6, least_words=20, hot_cell=hot)
+        members, links = near_copies.near_copies(df, "k", "body", p)
+        pairs = {(r.id_a, r.id_b) for r in near_copies.expand_pairs(members, links, near_copies.copied_codes(df, members, "body", p)).collect()}
+        assert pairs == brute(texts, 3, 0.6, 20) and {(0, 1), (2, 3), (4, 5), (4, 6), (5, 6)} <= pairs
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**63), max_size=200), st.sets(st.integers(0, 2**63), max_size=200))
 def test_manhattan_is_a_lower_bound(a, b):
