@@ -120,6 +120,18 @@ class Reader:
         known = self.memo.get(line)
         return known.token if known else xxhash.xxh3_64_intdigest(self.masked(line)) - (1 << 63)
 
+    def kind(self, line: str) -> tuple[int, bool]:
+        """Token and prose alone, which long lines that are not remembered get without the other rules."""
+        if len(line) <= 160:
+            fact = self(line)
+            return fact.token, fact.prose
+        return self.token(line), self.prose(line, len(_WORD.findall(_LINK.sub("]", line) if "](" in line else line)))
+
+    @staticmethod
+    def prose(line: str, words: int) -> bool:
+        ends = _END.match(line, len(line.rstrip(" \t\r\n\"')]`*_")) - 1) is not None
+        return (words >= 9 or (words >= 4 and ends)) and (ends or not _TRAIL.search(line))
+
     def __call__(self, line: str) -> Line:
         known = self.memo.get(line)
         if known is None:
@@ -133,8 +145,7 @@ class Reader:
     def read(self, line: str) -> Line:
         token = self.token(line)
         words = len(_WORD.findall(_LINK.sub("]", line)))
-        ends = _END.search(line) is not None
-        prose = (words >= 9 or (words >= 4 and ends)) and (ends or not _TRAIL.search(line))
+        prose = self.prose(line, words)
         message = is_message(line, words)
         framed = words <= 12 and _ARROW.search(line) is not None
         phrase = words <= 25 and FRAME_WORDS.search(line) is not None
@@ -182,18 +193,17 @@ def _count_batch(pdf: pd.DataFrame) -> pd.DataFrame:
     for item, site, brand, text in zip(pdf["item_id"], pdf["site"], pdf["brand"], pdf["text"], strict=True):
         lines = text.split("\n")
         kinds = line_kinds(lines)
-        words = [x.count(" ") + 1 for x in lines]
         heading = next((x for x, k in zip(lines, kinds, strict=True) if k == "heading"), text)
         title = xxhash.xxh3_64_intdigest(heading if heading is text else heading.lower())
         page = xxhash.xxh3_64_intdigest(str(item))
         own: dict[int, list[int]] = {}
         read = reader(brand)
-        for i, (x, k) in enumerate(zip(lines, kinds, strict=True)):
-            if k == "text" and words[i] < 40:
-                fact = read(x)
-                z = own.get(fact.token)
+        for x, k in zip(lines, kinds, strict=True):
+            if k == "text":
+                token, prose = read.kind(x)
+                z = own.get(token)
                 if z is None:
-                    z = own[fact.token] = [0, int(fact.prose)]
+                    z = own[token] = [0, int(prose)]
                 z[0] += 1
         own[0] = [1, 1]  # counts the site's pages
         bit = 1 << (title & 63)

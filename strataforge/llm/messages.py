@@ -100,6 +100,7 @@ _MONTHS = r"(?:jan|feb|mar|mär|apr|may|mai|jun|jul|aug|sep|oct|okt|nov|dec|dez|
 _ADDRESS = re.compile(r"\b(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>()\[\]\"']+|[\w.+-]+@[\w§-]+(?:\.[\w§-]+)+")
 _DATE = re.compile(rf"\b0(?:st|nd|rd|th|er|\.|º)?(?: de)? {_MONTHS}(?:,?(?: de)? 0)?\b|\b{_MONTHS} 0(?:st|nd|rd|th)?(?:, ?0)?\b|\b0([-/.])0\1 ?0\b")
 _NUMBER = re.compile(r"\d+")
+_NEAR_ZERO = re.compile(r"0(?:st|nd|rd|th|er|\.|º)?(?: de)? [^\W\d_]|[^\W\d_]\.? 0|0[-/.]0")  # what every date has
 _CODE_SPAN = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 _MESSAGE = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES + ERROR_LINES + FILLER_LINES))
 _SCRIPT = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES))
@@ -123,7 +124,7 @@ def masked(line: str) -> str:
     if "://" in s or "@" in s or "www." in s:
         s = _ADDRESS.sub("@", s)
     bare = _NUMBER.sub("0", s)
-    return _DATE.sub("0", bare) if bare != s or "0" in s else s
+    return _DATE.sub("0", bare) if "0" in bare and _NEAR_ZERO.search(bare) else bare
 
 
 def ends_in_state(line: str) -> bool:

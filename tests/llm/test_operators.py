@@ -183,6 +183,13 @@ def test_frame_words_count_only_around_bodies_of_small_sites(spark):
     assert all(got[i] == {0, 10} for i in range(4)) and not any(6 in v for v in got.values()) and not any(10 in got.get(i, ()) for i in range(4, 130))
 
 
+def test_long_lines_are_template_too(spark):
+    long = " ".join(["The operator of these pages keeps a small file on your device so that choices last"] * 3) + "."
+    rows = [(k, url, f"{long}\n\n{text}\n\n{long.replace('small', 'large')}") for k, url, text in site()]
+    bodies = {r.item_id: r.body for r in boilerplate.main_bodies(spark.createDataFrame(rows, "k bigint, url string, body string"), "k", "url", "body").collect()}
+    assert len(bodies) == 12 and all(b.startswith("# Topic number") and b.endswith(f"about thing {k}.") for k, b in bodies.items())
+
+
 def test_templates_by_site_equal_those_sent(spark, sf):
     scrapes = spark.read.parquet(f"{sf}/scrape_results.parquet")
     rows = lambda p: {tuple(r) for r in boilerplate.frame_lines(scrapes, "result_id", "url", "text_content", p).collect()}
