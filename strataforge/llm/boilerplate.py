@@ -1,14 +1,15 @@
 """Page frames by equivalence classes of tokens over the pages of a site.
 
-The token of a line is its masked form (numbers, dates, addresses, link targets and the site's own name left out). Over a site's pages a token has an
-occurrence vector, held as a 64-bit exclusive-or over (page, count); tokens with equal vectors form an equivalence
-class. A second pass places the tokens that recur on pages of different titles: a class is ordered if its tokens stand in one order on all
-its pages, in one gap of the enclosing class, the one on most of the site's pages. An ordered class of two tokens and more is valid template
-material if some of it lies in the frame, that is, before a page's first heading or after its last surely own line; a token without such a
-class must lie there itself, mostly, on its site or over all sites. Tokens too thin on one site are found across sites, by the same test over all of them, since the site's
-name is masked. The valid classes are the template; what they leave open is slots: those between frame tokens (trails, link lists,
-neighbour links) belong to the frame, the one from the first heading or own sentence to the last is the main body, with frame
-runs inside it cut out.
+A text line's tokens (`lines`) are the whole masked line and its outer words in their roles. Over a site's pages a token has an occurrence vector, held as a
+64-bit exclusive-or over (page, count); tokens with equal vectors form an equivalence class. The same is done over all sites together, where the site's name
+is masked, for tokens too thin on one. Classes are then placed on the pages. A class is ordered if its lines stand in one order on all its pages, in one
+gap of the enclosing class, the one of two lines and more on most of the site's pages; it nests in the frame if its lines lie there, before a page's first heading or after its last own
+line. Whole lines need that for the class, if it is ordered and has several lines, or for themselves. A line that differs from page to page, such as a link to
+the next page, is found by its outer words: two of them must be of one class, with the slot between or beside them, and that class must nest almost
+always, told by the first of the two. The valid classes are the template. What they leave open is slots: those between frame lines (trails, link lists, neighbour links) belong to the
+frame, the one from the first heading or own sentence to the last is the main body, with frame runs inside it cut out.
+
+Messages that stand in place of content are body; they are found as forms that recur across sites on pages without content (`message_forms`).
 """
 
 from __future__ import annotations
@@ -19,436 +20,391 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .messages import has_placeholder, is_message, is_script_notice, masked
+from .lines import BLANK, BULLET, CODE, CUES, GROUPS, HEADING, HOLDER, PROSE, QUOTED, ROLES, SHORT, TABLE, TEXT, TRAIL, Batch, parsed, site_pages
+from .messages import SCRIPT
 from .words import mix
 
+#: The site number of classes over all sites.
+EVERYWHERE = 0
+
 
 @dataclass(frozen=True)
 class FrameParams:
     """A token must recur under different titles, on a share of its site's pages, and lie in frame zones with a share of its occurrences.
 
-    Lines that read like sentences need more of each than labels. Labels of an ordered class share its occurrences; `frame_share_alone` is for
-    labels without one, and across sites, where a token must also be on `least_share` (`least_share_prose`) of the pages of the sites that have it.
+    Lines that read like sentences need more of each than labels, and outer words, which say less, still more. Lines of an ordered class share its occurrences; `frame_share_alone`
+    is for labels without one; `frame_share_slots` for outer words. Across sites a token must be on that share of the pages of the sites that have it.
     """
 
     least_titles: int = 3
     least_titles_prose: int = 5
+    least_titles_slots: int = 12
     least_share: float = 0.001
     least_share_prose: float = 0.01
     frame_share: float = 0.05
     frame_share_alone: float = 0.5
     frame_share_prose: float = 0.5
-    few_pages: int = 100  # pages of a site below which FRAME_WORDS help: a sentence on one page in twenty has five titles from there on
+    frame_share_slots: float = 0.9
     least_sites: int = 3
-    wide_sites: int = 8
-    broadcast_tokens: int = 4_000_000  # template tokens sent to every task (8 bytes each); beyond it they are grouped with the pages by site
+    wide_sites: int = 8  # sites from which a form without a cue may be a message
+    alone_share: float = 0.75  # of a message's pages must have no content
+    broadcast_tokens: int = 4_000_000  # template tokens sent to every task (17 bytes each); beyond it they are grouped with the pages by site
     pages_per_group: int = 20_000
 
 
-_FENCE = re.compile(r"[ >]{0,6}(`{3,}|~{3,})")
-_HEADING = re.compile(r"\s{0,3}#{1,6}(\s|$)")
-_LINK = re.compile(r"\]\([^)\s]*\)")
-_BULLET = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+")
-_ARROW = re.compile(r"^\s*(?:←|«|‹|<<|<-)\s|\s(?:→|»|›|>>|->)\s*$")
-_TRAIL = re.compile(r"\S\s(?:›|>|»|/|→|::|·|\|)\s\S")
-_WORD = re.compile(r"[^\W_]+")
-_END = re.compile(r"[.!?:;…][\"')\]`*_]*\s*$")
-#: Words that mark frame lines around the body on sites of fewer than `few_pages` pages.
-FRAME_WORDS = re.compile(
-    r"(?:we|you|site|website|partners|us|guardamos|utilise|déposons|verwendet|speichern|usa)\b.{0,60}\bcookies\b|^\W*cookies? (?:let|help|preferences)|\]?\s*cookies let|©|\(c\) ?\d{4}|copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos|newsletter|sponsored:|last updated|zuletzt geändert|dernière mise à jour|última actualización"
-    r"|was this page helpful|war diese seite hilfreich|page vous a-t-elle aidé|le ha sido útil|skip to (?:main )?content|back to top|stores small files on your device|site needs scripts",
-    re.I,
-)
+def _page_tokens(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(page, token, count, prose, whole) of the distinct tokens of each page."""
+    page = np.repeat(b.page[b.at], ROLES)
+    token = b.tokens.ravel()
+    prose = np.repeat((b.flags[b.at] & PROSE) > 0, ROLES)
+    whole = np.tile(np.arange(ROLES) == 0, len(b.at))
+    prose |= ~whole
+    on = token != 0
+    page, token, prose, whole = page[on], token[on], prose[on], whole[on]
+    order = np.lexsort((token, page))
+    page, token, prose, whole = page[order], token[order], prose[order], whole[order]
+    new = np.ones(len(page), bool)
+    new[1:] = (page[1:] != page[:-1]) | (token[1:] != token[:-1])
+    at = np.flatnonzero(new)
+    return page[at], token[at], np.diff(np.append(at, len(page))), prose[at], whole[at]
 
 
-def site_columns(url: Column) -> tuple[Column, Column]:
-    """Host without `www.`, and the site's own name: the first host label that is not a service name."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]+)", 1))
-    host = F.regexp_replace(host, r"^www\.", "")
-    return host, F.regexp_extract(F.regexp_replace(host, r"^(docs?|wiki|help|api|dev|developer|support)\.", ""), r"^([^.]+)", 1)
+def _count_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per site and token of a batch: pages, titles as a 64-bit linear counter, and occurrence vector; token 0 counts the site's pages."""
+    b = Batch(pdf)
+    page, token, count, prose, whole = _page_tokens(b)
+    page = np.concatenate([page, np.arange(b.pages)])
+    token = np.concatenate([token, np.zeros(b.pages, np.int64)])
+    count = np.concatenate([count, np.ones(b.pages, np.int64)])
+    prose, whole = np.concatenate([prose, np.zeros(b.pages, bool)]), np.concatenate([whole, np.ones(b.pages, bool)])
+    name = pd.util.hash_array(pdf["item_id"].to_numpy().astype(str).astype(object)).astype(np.uint64)
+    vector = mix(mix(name, 3)[page] + count.astype(np.uint64), 5)
+    bit = np.uint64(1) << (b.title.astype(np.uint64) & np.uint64(63))
+    order = np.lexsort((token, b.site[page]))
+    page, token = page[order], token[order]
+    site = b.site[page]
+    new = np.ones(len(page), bool)
+    new[1:] = (site[1:] != site[:-1]) | (token[1:] != token[:-1])
+    at = np.flatnonzero(new)
+    return pd.DataFrame({
+        "site": site[at], "token": token[at], "pages": np.diff(np.append(at, len(page))), "titles": np.bitwise_or.reduceat(bit[page], at).view(np.int64), "vector": np.bitwise_xor.reduceat(vector[order], at).view(np.int64),
+        "prose": prose[order][at].astype(np.int32), "whole": whole[order][at].astype(np.int32),
+    })
+
+
+def site_token(site: np.ndarray | int, tok: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(np.asarray(site, np.int64).astype(np.uint64), 1) ^ tok.astype(np.uint64)).astype(np.int64)
 
 
-def site_pages(df: DataFrame, item_id: str, url: str, text: str) -> DataFrame:
-    """(item_id, site, brand, text) of texts that are not blank; a page without a URL is a site of its own.
+@dataclass
+class Classes:
+    """Sorted keys site_token(site, token) with the token's class, or a table (site, token, cls, enclosing) where there are too many to send.
 
-    Re-delivered rows stay: they change neither which titles a token has nor which tokens share their pages, and results are made
-    distinct, which is far less to shuffle than the texts.
+    `enclosing` tells, while templates are deduced, the lines of enclosing classes; in a template, the outer words that lead a line's valid pair.
     """
-    host, brand = site_columns(F.col(url))
-    rows = df.select(F.col(item_id).alias("item_id"), F.when(F.coalesce(host, F.lit("")) != "", F.xxhash64(host)).otherwise(F.xxhash64(F.lit("?"), item_id)).alias("site"), F.coalesce(brand, F.lit("")).alias("brand"), F.col(text).cast("string").alias("text"))
-    return rows.where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("item_id").isNotNull())
-
-
-@dataclass(frozen=True, slots=True)
-class Line:
-    """What does not depend on a line's place: its token, words, and the rules that hold of it."""
-
-    token: int
-    words: int
-    prose: bool
-    message: bool
-    notice: bool
-    framed: bool  # by its arrows alone
-    phrase: bool
-    quoted: bool
-
-
-class Reader:
-    """Line facts of one site's name, remembered, since frame lines recur on most pages."""
-
-    most = 200_000
-
-    def __init__(self, brand: str):
-        self.brand = brand
-        self.name = re.compile(rf"(?<!\w){re.escape(brand)}(?!\w)") if brand else None
-        self.memo: dict[str, Line] = {}
-
-    def masked(self, line: str) -> str:
-        s = line.strip().lower()
-        if self.name and self.brand in s:
-            s = self.name.sub("§", s)
-        if "](" in s:
-            s = _LINK.sub("]()", s)
-        return masked(s)
-
-    def token(self, line: str) -> int:
-        known = self.memo.get(line)
-        return known.token if known else xxhash.xxh3_64_intdigest(self.masked(line)) - (1 << 63)
-
-    def kind(self, line: str) -> tuple[int, bool]:
-        """Token and prose alone, which long lines that are not remembered get without the other rules."""
-        if len(line) <= 160:
-            fact = self(line)
-            return fact.token, fact.prose
-        return self.token(line), self.prose(line, len(_WORD.findall(_LINK.sub("]", line) if "](" in line else line)))
 
-    @staticmethod
-    def prose(line: str, words: int) -> bool:
-        ends = _END.match(line, len(line.rstrip(" \t\r\n\"')]`*_")) - 1) is not None
-        return (words >= 9 or (words >= 4 and ends)) and (ends or not _TRAIL.search(line))
-
-    def __call__(self, line: str) -> Line:
-        known = self.memo.get(line)
-        if known is None:
-            known = self.read(line)
-            if len(line) <= 160:
-                if len(self.memo) > self.most:
-                    self.memo.clear()
-                self.memo[line] = known
-        return known
-
-    def read(self, line: str) -> Line:
-        token = self.token(line)
-        words = len(_WORD.findall(_LINK.sub("]", line)))
-        prose = self.prose(line, words)
-        message = is_message(line, words)
-        framed = words <= 12 and _ARROW.search(line) is not None
-        phrase = words <= 25 and FRAME_WORDS.search(line) is not None
-        return Line(token, words, prose, message, message and is_script_notice(line), framed, phrase, line.lstrip().startswith(">"))
-
-
-_READERS: dict[str, Reader] = {}
-
-
-def reader(brand: str) -> Reader:
-    """A reader for each site name; a worker keeps those of a few thousand."""
-    if brand not in _READERS:
-        if len(_READERS) >= 2_000 or sum(len(r.memo) for r in _READERS.values()) > 1_000_000:
-            _READERS.clear()
-        _READERS[brand] = Reader(brand)
-    return _READERS[brand]
-
-
-def line_kinds(lines: list[str]) -> list[str]:
-    """code, blank, heading, table or text, by line."""
-    out: list[str] = []
-    fence = ""
-    for x in lines:
-        bare = x.strip()
-        first = bare[:1]
-        if fence:
-            out.append("code")
-            if first in "`~>" and bare and (m := _FENCE.match(x)) and m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence) and not bare.strip(" >`~"):
-                fence = ""
-        elif not bare:
-            out.append("blank")
-        elif first in "`~>" and (m := _FENCE.match(x)):
-            fence = m.group(1)
-            out.append("code")
-        elif first == "#" and _HEADING.match(x):
-            out.append("heading")
-        else:
-            out.append("table" if first == "|" else "text")
-    return out
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    cls: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    enclosing: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    table: DataFrame | None = None
 
+    @staticmethod
+    def of(rows: pd.DataFrame) -> Classes:
+        key = site_token(rows["site"].to_numpy(np.int64), rows["token"].to_numpy(np.int64))
+        order = np.argsort(key)
+        return Classes(key[order], rows["cls"].to_numpy(np.int64)[order], rows["enclosing"].to_numpy(bool)[order])
 
-def _count_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per site and token of a batch: pages, titles as a 64-bit linear counter, and occurrence vector."""
-    acc: dict[tuple[int, int], list[int]] = {}
-    for item, site, brand, text in zip(pdf["item_id"], pdf["site"], pdf["brand"], pdf["text"], strict=True):
-        lines = text.split("\n")
-        kinds = line_kinds(lines)
-        heading = next((x for x, k in zip(lines, kinds, strict=True) if k == "heading"), text)
-        title = xxhash.xxh3_64_intdigest(heading if heading is text else heading.lower())
-        page = xxhash.xxh3_64_intdigest(str(item))
-        own: dict[int, list[int]] = {}
-        read = reader(brand)
-        for x, k in zip(lines, kinds, strict=True):
-            if k == "text":
-                token, prose = read.kind(x)
-                z = own.get(token)
-                if z is None:
-                    z = own[token] = [0, int(prose)]
-                z[0] += 1
-        own[0] = [1, 1]  # counts the site's pages
-        bit = 1 << (title & 63)
-        for t, (n, prose) in own.items():
-            a = acc.get((site, t))
-            v = (page * 0x9E3779B97F4A7C15 + n * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-            v = ((v ^ (v >> 31)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-            if a is None:
-                acc[(site, t)] = [1, bit, v, prose]
-            else:
-                a[0] += 1
-                a[1] |= bit
-                a[2] ^= v
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    return pd.DataFrame([(s, t, a[0], signed(a[1]), signed(a[2]), a[3]) for (s, t), a in acc.items()], columns=["site", "token", "pages", "titles", "vector", "prose"])
-
-
-def _place_batch(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
-    """Per site and candidate token of a batch: occurrences, those in frame zones, and the range of its class's place on a page.
-
-    A place is the order of the class's tokens and the gap of the enclosing class they stand in, hashed; it is constant if the range is one value.
+    @staticmethod
+    def sent(rows: DataFrame, p: FrameParams) -> Classes:
+        return Classes(table=rows) if rows.count() > p.broadcast_tokens else Classes.of(rows.toPandas())
+
+    def find(self, site: np.ndarray | int, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, place in cls)."""
+        if not len(self.keys):
+            return np.zeros(tokens.shape, bool), np.zeros(tokens.shape, np.int64)
+        key = site_token(site, tokens)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (self.keys[at] == key) & (tokens != 0), at
+
+    def lines(self, b: Batch, site: np.ndarray | int, valid: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(listed, place, slotted, lead) of each text line: whether it is a token as a whole, and where; whether two of its outer words are of one class, and the first of them."""
+        whole, at = self.find(site, b.tokens[:, 0])
+        outer, place = self.find(site if isinstance(site, int) else site[:, None], b.tokens[:, 1:])
+        cls = np.where(outer, self.cls[place] if len(self.cls) else 0, np.arange(1, ROLES))  # no two alike where none is found
+        slotted, slot = np.zeros(len(whole), bool), np.zeros(len(whole), np.int64)
+        for i, j in ((0, 1), (0, 2), (2, 3), (0, 3), (1, 2), (1, 3)):
+            same = outer[:, i] & outer[:, j] & (cls[:, i] == cls[:, j])
+            if valid and len(self.cls):
+                same &= self.enclosing[place[:, i]]
+            slot[same & ~slotted] = b.tokens[same & ~slotted, 1 + i]
+            slotted |= same
+        return whole, at, slotted, slot
+
+
+def _zones(b: Batch, unsure: np.ndarray) -> np.ndarray:
+    """Whether each text line lies before its page's first heading (own line if it has none) or after its last own line; `unsure` text lines are no own lines.
+
+    A page without an own line below its headings does not tell where its body ends, so nothing below the first heading counts as frame there.
     """
-    acc: dict[tuple[int, int], list[int]] = {}
-    for site, brand, text in zip(pdf["site"], pdf["brand"], pdf["text"], strict=True):
-        lines = text.split("\n")
-        kinds = line_kinds(lines)
-        read = reader(brand)
-        texts = [i for i, k in enumerate(kinds) if k == "text"]
-        tokens = [read.token(lines[i]) for i in texts]
-        classes = known.classes_of(site, tokens)
-        listed = {i for i, c in zip(texts, classes, strict=True) if c is not None}
-        sure = [i for i, k in enumerate(kinds) if k in ("heading", "table", "code") or (k == "text" and i not in listed and ((n := lines[i].count(" ")) >= 24 or (n >= 3 and _END.search(lines[i]))))]
-        heads = [i for i, k in enumerate(kinds) if k == "heading"]
-        first = heads[0] if heads else (sure[0] if sure else len(lines))
-        last = sure[-1] if sure else -1
-        order: dict[int, list[int]] = {}
-        gap = 0
-        for i, t, c in zip(texts, tokens, classes, strict=True):
-            if c is None:
-                continue
-            cls, enclosing = c
-            gap += enclosing
-            order.setdefault(cls, []).extend((t,) if enclosing else (t, gap))
-            a = acc.setdefault((site, t), [0, 0, 1 << 63, -(1 << 63)])
-            a[0] += 1
-            a[1] += i < first or i > last
-        for t, (cls, _) in {t: c for t, c in zip(tokens, classes, strict=True) if c is not None}.items():
-            a = acc[(site, t)]
-            place = hash(tuple(order[cls]))
-            a[2], a[3] = min(a[2], place), max(a[3], place)
-    return pd.DataFrame([(s, t, *a) for (s, t), a in acc.items()], columns=["site", "token", "seen", "framed", "low", "high"])
-
-
-@dataclass
-class Templates:
-    """Template tokens: `site_tokens` hold mix(site, token), token 0 on sites of `few_pages` and more, `shared` those found across sites; or a table of them by site where there are too many.
-
-    `wide` are the tokens of any kind that many sites share.
+    own = (b.kinds == TABLE) | (b.kinds == CODE)
+    own[b.at] = ~unsure & ((b.flags[b.at] & PROSE) > 0)
+    sure, heads = np.flatnonzero(own), np.flatnonzero(b.kinds == HEADING)
+    first, last, end = b.first(heads), b.last(sure), b.begin + b.lengths
+    none = first >= end
+    first[none] = b.first(sure)[none]
+    last = np.where(last < b.begin, end, np.maximum(last, b.last(heads)))
+    page = b.page[b.at]
+    return (b.at < first[page]) | (b.at > last[page])
+
+
+def _place_batch(pdf: pd.DataFrame, known: Classes) -> pd.DataFrame:
+    """Per site and candidate of a batch: occurrences, those in frame zones, and the range of its class's place on a page.
+
+    A place is the order of the class's lines and the gap of the enclosing class they stand in, hashed; it is constant if the range is one value.
+    Whole lines are reported as kind 0, pairs of outer words by their first as kind 1.
+    """
+    b = Batch(pdf)
+    page = b.page[b.at]
+    own_w, own_at, own_s, own_slot = known.lines(b, b.site[page])
+    all_w, all_at, all_s, all_slot = known.lines(b, EVERYWHERE)
+    whole = own_w | all_w
+    zone = _zones(b, whole | own_s | all_s)
+    out = []
+    if own_w.any():
+        rows = np.flatnonzero(own_w)
+        pg, cls, enc, tok = page[rows], known.cls[own_at[rows]], known.enclosing[own_at[rows]], b.tokens[rows, 0]
+        # Enclosing lines of the page that stand before each line; its own is not counted among its class's gaps.
+        before = np.cumsum(enc)
+        head = np.searchsorted(pg, pg)
+        gap = np.where(enc, 0, before - np.where(head > 0, before[head - 1], 0))
+        order = np.lexsort((rows, cls, pg))
+        pc = np.stack([pg[order], cls[order]], axis=1)
+        new = np.ones(len(order), bool)
+        new[1:] = (pc[1:] != pc[:-1]).any(axis=1)
+        at = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        rank = np.arange(len(order)) - at[run]
+        with np.errstate(over="ignore"):
+            step = mix(tok[order].astype(np.uint64) + mix(rank.astype(np.uint64) * np.uint64(1024) + gap[order].astype(np.uint64), 11), 13)
+            total = np.add.reduceat(step, at)
+        place = np.empty(len(order), np.int64)
+        place[order] = total[run].view(np.int64)
+        out.append(pd.DataFrame({"site": b.site[pg], "kind": 0, "token": tok, "framed": zone[rows], "place": place}))
+    rows = np.flatnonzero(all_w)
+    out.append(pd.DataFrame({"site": EVERYWHERE, "kind": 0, "token": b.tokens[rows, 0], "framed": zone[rows], "place": 0}))
+    for site, s, slot, w in ((b.site[page], own_s, own_slot, own_w), (np.zeros(len(page), np.int64), all_s, all_slot, all_w)):
+        rows = np.flatnonzero(s & ~w)
+        out.append(pd.DataFrame({"site": site[rows], "kind": 1, "token": slot[rows], "framed": zone[rows], "place": 0}))
+    acc = pd.concat(out).groupby(["site", "kind", "token"], sort=False).agg(seen=("framed", "size"), framed=("framed", "sum"), low=("place", "min"), high=("place", "max")).reset_index()
+    return acc.astype({"site": "int64", "kind": "int32", "token": "int64", "seen": "int64", "framed": "int64"})
+
+
+def _apply(known: Classes, pages: DataFrame, run: Callable[[pd.DataFrame, Classes], pd.DataFrame], schema: str, p: FrameParams) -> DataFrame:
+    """run(pages, classes) over all parsed pages, by batch, or by site where the classes are not sent to every task."""
+    if known.table is None:
+        sent = pages.sparkSession.sparkContext.broadcast((known.keys, known.cls, known.enclosing))
+
+        def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mine = Classes(*sent.value)
+            for pdf in it:
+                yield run(pdf, mine)
+
+        return pages.mapInPandas(each, schema)
+    # Classes over all sites go to the sites that have their tokens, so a group holds what its pages can meet; hot sites are salted.
+    spread = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    salts = cut_lineage(pages.groupBy("site").agg(F.ceil(F.count("*") / p.pages_per_group).cast("int").alias("salts")))
+    left = pages.join(salts, "site").withColumn("salt", F.pmod(F.xxhash64("item_id"), "salts").cast("int")).drop("salts")
+
+    def tokens(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = Batch(pdf)
+        site, token = np.repeat(b.site[b.page[b.at]], ROLES), b.tokens.ravel()
+        return pd.DataFrame({"at": site, "token": token}).drop_duplicates()
+
+    everywhere = known.table.where(F.col("site") == EVERYWHERE)
+    met = pages.mapInPandas(lambda it: (tokens(x) for x in it), "at bigint, token bigint").distinct().join(everywhere, "token")
+    rows = known.table.where(F.col("site") != EVERYWHERE).withColumn("at", F.col("site")).unionByName(met)
+    right = rows.join(salts.withColumnRenamed("site", "at"), "at").withColumn("salt", spread).drop("salts")
+
+    def group(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return run(a, Classes.of(c))
+
+    return left.groupBy("site", "salt").cogroup(right.groupBy("at", "salt")).applyInPandas(group, schema)
+
+
+def word_classes(often: DataFrame) -> DataFrame:
+    """(site, token, cls, lines, words, enclosing) of (site, token, pages, vector, whole): equivalence classes with their whole lines and all their tokens.
+
+    The class of two lines and more that is on most pages of a site encloses the others. Outer words alone make no line, so a class of one of them is left out.
     """
+    classes = often.groupBy("site", "pages", "vector").agg(F.sum("whole").alias("lines"), F.count("*").alias("words"))
+    outer = classes.where((F.col("lines") > 1) & (F.col("site") != EVERYWHERE)).groupBy("site").agg(F.max_by("vector", F.struct("pages", "lines", "vector")).alias("outer"))
+    rows = often.join(classes, ["site", "pages", "vector"]).where("whole = 1 or words > 1").join(outer, "site", "left")
+    return rows.select("site", "token", F.col("vector").alias("cls"), "lines", "words", "prose", "whole", F.coalesce(F.col("vector") == F.col("outer"), F.lit(False)).alias("enclosing"))
 
-    shared: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    site_tokens: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    wide: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    by_site: DataFrame | None = None
-    params: FrameParams = FrameParams()
-    #: While templates are deduced: class, and whether it is the enclosing one, of each of `site_tokens`.
-    classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    enclosing: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
-    def classes_of(self, site: int, tokens: list[int]) -> list[tuple[int, bool] | None]:
-        if not tokens or not len(self.site_tokens):
-            return [None] * len(tokens)
-        t = np.array(tokens, np.int64)
-        key = site_token(np.full(len(t), site, np.int64), t)
-        at = np.minimum(np.searchsorted(self.site_tokens, key), len(self.site_tokens) - 1)
-        return [(c, e) if x else None for x, c, e in zip(self.site_tokens[at] == key, self.classes[at].tolist(), self.enclosing[at].tolist(), strict=True)]
-
-    def has(self, site: int, tokens: list[int]) -> np.ndarray:
-        if not tokens:
-            return np.zeros(0, bool)
-        t = np.array(tokens, np.int64)
-        return _member(self.shared, t) | _member(self.site_tokens, site_token(np.full(len(t), site, np.int64), t))
-
-    def apply(self, pages: DataFrame, run: Callable[[pd.DataFrame, Templates], pd.DataFrame], schema: str) -> DataFrame:
-        """run(pages, templates) over all pages, by batch, or by site where the templates are not sent to every task."""
-        if self.by_site is None:
-            sent = pages.sparkSession.sparkContext.broadcast((self.shared, self.site_tokens, self.wide, None, self.params, self.classes, self.enclosing))
-
-            def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                known = Templates(*sent.value)
-                for pdf in it:
-                    yield run(pdf, known)
-
-            return pages.mapInPandas(each, schema)
-        per = self.params.pages_per_group
-        salts = pages.groupBy("site").agg(F.ceil(F.count("*") / per).cast("int").alias("salts"))
-        salts = cut_lineage(salts)
-        left = pages.join(salts, "site").withColumn("salt", F.pmod(F.xxhash64("item_id"), "salts").cast("int")).drop("salts")
-        right = self.by_site.join(salts, "site").withColumn("salt", F.explode(F.sequence(F.lit(0), F.expr("salts - 1")))).drop("salts")
-
-        def group(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            tokens = b["token"].to_numpy(np.int64)
-            if "cls" in b:
-                return run(a, candidates(b))
-            return run(a, Templates(np.sort(tokens[b["nests"].to_numpy(bool)]), wide=np.sort(tokens[b["wide"].to_numpy(bool)])))
-
-        return left.groupBy("site", "salt").cogroup(right.groupBy("site", "salt")).applyInPandas(group, schema)
-
-
-def candidates(rows: pd.DataFrame) -> Templates:
-    """The tokens to place, of (site, token, cls, enclosing)."""
-    key = site_token(rows["site"].to_numpy(np.int64), rows["token"].to_numpy(np.int64))
-    order = np.argsort(key)
-    return Templates(site_tokens=key[order], classes=rows["cls"].to_numpy(np.int64)[order], enclosing=rows["enclosing"].to_numpy(bool)[order])
-
-
-def site_token(site: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(site.astype(np.uint64), 1) ^ tok.astype(np.uint64)).astype(np.int64)
+def deduce_templates(pages: DataFrame, params: FrameParams = FrameParams()) -> Classes:
+    """The template of each site, and the one of all sites (site 0), of parsed pages: valid classes and their tokens."""
+    p = params
+    counted = pages.mapInPandas(lambda it: (_count_batch(x) for x in it), "site bigint, token bigint, pages bigint, titles bigint, vector bigint, prose int, whole int")
+    sums = lambda *more: [F.sum("pages").alias("pages"), F.bit_or("titles").alias("titles"), F.bit_xor("vector").alias("vector"), F.max("prose").alias("prose"), F.max("whole").alias("whole"), *more]
+    everything = cut_lineage(counted.groupBy("site", "token").agg(*sums()))
+    per, size = everything.where("token <> 0"), everything.where("token = 0").select("site", F.col("pages").alias("n"))
+    by_kind = lambda prose, label: F.when(F.col("prose") == 1, prose).otherwise(label)
+    titles = F.when(F.col("whole") == 0, p.least_titles_slots).otherwise(by_kind(p.least_titles_prose, p.least_titles))
+    enough = (F.col("pages") >= F.col("n") * by_kind(p.least_share_prose, p.least_share)) & (F.bit_count("titles") >= titles)
+    columns = ["site", "token", "pages", "vector", "prose", "whole"]
+    # The bounds of a site and over all sites differ only in what the share is of.
+    own = per.where("pages >= 2").join(size, "site").where(enough).select(columns)
+    wide = per.join(size, "site").groupBy("token").agg(*sums(F.sum("n").alias("n"), F.count("*").alias("sites")))
+    wide = wide.where((F.col("sites") >= p.least_sites) & (F.col("pages") > p.least_titles) & enough).withColumn("site", F.lit(EVERYWHERE).cast("bigint")).select(columns)
+    listed = cut_lineage(word_classes(own.unionByName(wide)))
+    candidates = Classes.sent(listed.select("site", "token", "cls", "enclosing"), p)
+    placed = _apply(candidates, pages, _place_batch, "site bigint, kind int, token bigint, seen bigint, framed bigint, low bigint, high bigint", p)
+    placed = cut_lineage(placed.groupBy("site", "kind", "token").agg(F.sum("seen").alias("s"), F.sum("framed").alias("f"), F.min("low").alias("low"), F.max("high").alias("high")))
+    # Validity of whole lines: alone, here or over all sites, or with the ordered class they stand in; of outer words by class.
+    nests = F.col("f") >= F.col("s") * by_kind(p.frame_share_prose, p.frame_share_alone)
+    lines = placed.where("kind = 0").join(listed.where("whole = 1"), ["site", "token"])
+    ordered = lines.where((F.col("lines") > 1) & (F.col("site") != EVERYWHERE)).groupBy("site", "cls").agg(F.sum("s").alias("cs"), F.sum("f").alias("cf"), (F.max("high") == F.min("low")).alias("ordered"))
+    ordered = ordered.where(F.col("ordered") & (F.col("cf") >= F.col("cs") * p.frame_share)).select("site", "cls", F.lit(True).alias("together"))
+    whole = lines.join(ordered, ["site", "cls"], "left").where(nests | (F.col("together") & (F.col("prose") == 0))).select("site", "token", "cls", "enclosing")
+    leads = placed.where("kind = 1").where(F.col("f") >= F.col("s") * p.frame_share_slots).select("site", "token", F.lit(True).alias("leads"))
+    marked = listed.where("whole = 0").join(leads, ["site", "token"], "left").select("site", "token", "cls", F.coalesce("leads", F.lit(False)).alias("enclosing"))
+    outer = marked.join(marked.where("enclosing").select("site", "cls").distinct(), ["site", "cls"], "left_semi").select("site", "token", "cls", "enclosing")
+    return Classes.sent(cut_lineage(whole.unionByName(outer)), p)
+
+
+def _form_batch(pdf: pd.DataFrame, template: Classes) -> pd.DataFrame:
+    """Per site and form of a batch: its pages, those without content, its cues, and whether it is a whole form."""
+    b = Batch(pdf)
+    known = template_lines(b, template)
+    flags = b.flags[b.at]
+    page = b.page[b.at]
+    # Content is headed sentences, tables or code that is no template; one form alone, however often it stands, may be a message.
+    sure = ((flags & (PROSE | QUOTED)) > 0) & ~known
+    loose = sure & (flags >> CUES == 0)
+    few = pd.DataFrame({"page": page[loose], "form": b.groups[loose, 0]}).groupby("page")["form"].agg(["nunique", "min"])
+    distinct, only = np.zeros(b.pages, np.int64), np.zeros(b.pages, np.int64)
+    distinct[few.index], only[few.index] = few["nunique"], few["min"]
+    solid = np.zeros(b.pages, bool)
+    solid[b.page[(b.kinds == TABLE) | (b.kinds == CODE)]] = True
+    alone = ~solid[page] & ((distinct[page] == 0) | ((distinct[page] == 1) & (only[page] == b.groups[:, 0])))
+    out = pd.DataFrame({"page": np.repeat(page, GROUPS), "form": b.groups.ravel(), "alone": np.repeat(alone, GROUPS), "cues": np.repeat(flags >> CUES, GROUPS), "whole": np.tile(np.arange(GROUPS) == 0, len(page))})
+    out = out[out["form"] != 0].drop_duplicates(["page", "form"])
+    out["site"] = b.site[out["page"].to_numpy()]
+    acc = out.groupby(["site", "form"], sort=False).agg(pages=("page", "size"), alone=("alone", "sum"), cues=("cues", "max"), least=("cues", "min"), whole=("whole", "max")).reset_index()
+    return acc.astype({"pages": "int64", "alone": "int64", "cues": "int32", "least": "int32", "whole": "int32"})
 
 
-def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
+@dataclass
+class Forms:
+    """Sorted hashes of the forms that are messages, and of those that are script notices."""
 
+    messages: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    notices: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-def member(table: np.ndarray, value: int) -> bool:
-    return bool(_member(table, np.array([value], np.int64))[0])
 
+def message_forms(pages: DataFrame, template: Classes, params: FrameParams = FrameParams()) -> Forms:
+    """The forms that stand on many sites, mostly on pages without content: with a cue from `least_sites` sites on, without one from `wide_sites`.
 
-def deduce_templates(pages: DataFrame, params: FrameParams = FrameParams()) -> Templates:
-    """The template of each site of (item_id, site, brand, text)."""
+    What is kept is a set of hashes of wide forms, which grows with the wordings of messages, not with the pages.
+    """
     p = params
-    counted = pages.mapInPandas(lambda it: (_count_batch(x) for x in it), "site bigint, token bigint, pages bigint, titles bigint, vector bigint, prose int")
-    per = counted.groupBy("site", "token").agg(F.sum("pages").alias("pages"), F.bit_or("titles").alias("titles"), F.bit_xor("vector").alias("vector"), F.max("prose").alias("prose"))
-    everything = cut_lineage(per)
-    per, size = everything.where("token <> 0"), everything.where("token = 0").select("site", F.col("pages").alias("n"))
-    by_kind = lambda prose, label: F.when(F.col("prose") == 1, prose).otherwise(label)
-    enough = F.col("pages") >= F.col("n") * by_kind(p.least_share_prose, p.least_share)
-    often = per.where("pages >= 2").join(size, "site").where(enough & (F.bit_count("titles") >= by_kind(p.least_titles_prose, p.least_titles))).select("site", "token", "vector", "pages")
-    across = per.join(size, "site").groupBy("token").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.max("prose").alias("prose"))
-    across = cut_lineage(across.where((F.col("sites") >= p.least_sites) & (F.col("pages") > p.least_titles)).select("token", enough.alias("enough"), "prose", (F.col("sites") >= p.wide_sites).alias("wide")))
-    # Equivalence classes on a site; the one on most pages, of two tokens at least, encloses the others. Tokens that are thin there have none.
-    classes = often.groupBy("site", "pages", "vector").agg(F.count("*").alias("tokens"))
-    outer = classes.where("tokens > 1").groupBy("site").agg(F.max_by("vector", F.struct("pages", "tokens", "vector")).alias("outer"))
-    found = often.join(classes, ["site", "pages", "vector"]).join(outer, "site", "left").select("site", "token", F.col("vector").alias("cls"), "tokens", F.coalesce(F.col("vector") == F.col("outer"), F.lit(False)).alias("enclosing"))
-    thin = per.join(across, "token", "left_semi").join(often, ["site", "token"], "left_anti").select("site", "token", F.col("token").alias("cls"), F.lit(0).alias("tokens"), F.lit(False).alias("enclosing"))
-    listed = cut_lineage(found.unionByName(thin))
-    sent = listed.select("site", "token", "cls", "enclosing")
-    placing = candidates(sent.toPandas()) if listed.count() <= p.broadcast_tokens else Templates(by_site=sent, params=p)
-    placed = placing.apply(pages, _place_batch, "site bigint, token bigint, seen bigint, framed bigint, low bigint, high bigint")
-    placed = placed.groupBy("site", "token").agg(F.sum("seen").alias("s"), F.sum("framed").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"))
-    placed = cut_lineage(placed.join(listed, ["site", "token"]).join(per.select("site", "token", "prose"), ["site", "token"]))
-    # Validity: of ordered classes as a whole, of other tokens alone, and across sites.
-    nests = F.col("f") >= F.col("s") * by_kind(p.frame_share_prose, p.frame_share_alone)
-    own = placed.where("tokens > 0")
-    ordered = own.groupBy("site", "cls").agg(F.count("*").alias("members"), F.sum("s").alias("cs"), F.sum("f").alias("cf"), (F.max("high") == F.min("low")).alias("ordered")).where("members > 1 and ordered").where(F.col("cf") >= F.col("cs") * p.frame_share)
-    shares = cut_lineage(placed.groupBy("token").agg(F.sum("s").alias("s"), F.sum("f").alias("f"), F.max("prose").alias("prose")))
-    by_site = own.join(ordered.select("site", "cls", F.lit(True).alias("whole")), ["site", "cls"], "left").join(shares.select("token", nests.alias("elsewhere")), "token")
-    by_site = by_site.where(nests | F.col("elsewhere") | (F.col("whole") & (F.col("prose") == 0))).select("site", "token")
-    shared = cut_lineage(across.join(shares.drop("prose"), "token").select("token", (F.col("enough") & nests).alias("nests"), "wide"))
-    by_site = cut_lineage(by_site.unionByName(size.where(F.col("n") >= p.few_pages).select("site", F.lit(0).cast("bigint").alias("token"))))
-    if shared.count() + by_site.count() > p.broadcast_tokens:
-        # Shared tokens go to the sites that have them, so both kinds reach a page with its site.
-        own = by_site.withColumns({"nests": F.lit(True), "wide": F.lit(False)})
-        return Templates(by_site=own.unionByName(per.select("site", "token").join(shared, "token"), allowMissingColumns=False), params=p)
-    rows, own = shared.toPandas(), by_site.toPandas()
-    tokens = rows["token"].to_numpy(np.int64)
-    return Templates(np.sort(tokens[rows["nests"]]), np.sort(site_token(own["site"].to_numpy(np.int64), own["token"].to_numpy(np.int64))), np.sort(tokens[rows["wide"]]), None, p)
+    per = _apply(template, pages, _form_batch, "site bigint, form bigint, pages bigint, alone bigint, cues int, least int, whole int", p)
+    per = per.groupBy("site", "form").agg(F.sum("pages").alias("pages"), F.sum("alone").alias("alone"), F.max("cues").alias("cues"), F.min("least").alias("least"), F.max("whole").alias("whole"))
+    wide = per.groupBy("form").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"), F.sum("alone").alias("alone"), F.max("cues").alias("cues"), F.min("least").alias("least"), F.max("whole").alias("whole"))
+    cued = (F.col("sites") >= p.least_sites) & (F.col("least") > 0) & (F.col("alone") >= F.col("pages") * p.alone_share)
+    bare = (F.col("sites") >= p.wide_sites) & (F.col("whole") == 1) & (F.col("alone") >= F.col("pages") * p.alone_share)
+    notice = (F.col("sites") >= p.least_sites) & (F.col("least").bitwiseAND(SCRIPT) > 0) & (F.col("whole") == 1)
+    rows = wide.where(cued | bare | notice).select("form", (cued | bare).alias("message"), notice.alias("notice")).toPandas()
+    form = rows["form"].to_numpy(np.int64)
+    return Forms(np.sort(form[rows["message"].to_numpy(bool)]), np.sort(form[rows["notice"].to_numpy(bool)]))
+
+
+def template_lines(b: Batch, template: Classes) -> np.ndarray:
+    """Whether each text line is template, as a whole or by a pair of its outer words, on its site or over all."""
+    out = np.zeros(len(b.at), bool)
+    for site in (b.site[b.page[b.at]], EVERYWHERE):
+        whole, _, slotted, _ = template.lines(b, site, valid=True)
+        out |= whole | slotted
+    return out
 
 
 @dataclass
 class Page:
-    lines: list[str]
-    kinds: list[str]
+    kinds: np.ndarray
+    flags: np.ndarray
     frame: list[bool]
-    facts: list[Line | None]
-
-
-def read_page(text: str, brand: str, site: int, templates: Templates) -> Page:
-    """Lines of a page, their kinds, and which belong to the frame (blank lines never do)."""
-    lines = text.split("\n")
-    kinds = line_kinds(lines)
-    n = len(lines)
-    read = reader(brand)
-    texts = [i for i, k in enumerate(kinds) if k == "text"]
-    facts: list[Line | None] = [None] * n
-    for i in texts:
-        facts[i] = read(lines[i])
-    known = np.zeros(n, bool)
-    known[texts] = templates.has(site, [facts[i].token for i in texts])
-    own = np.array([k in ("heading", "table", "code") for k in kinds])  # surely content
-    few = not templates.has(site, [0])[0]
-    prose = False
-    messages, phrases = [], []
-    for i in texts:
-        fact = facts[i]
-        if fact.message:
-            messages.append(i)
-        elif known[i]:
-            continue
-        elif fact.framed:
-            known[i] = True
-        elif few and fact.phrase:
-            phrases.append(i)
-        elif fact.prose or fact.quoted or has_placeholder(lines[i]):
-            own[i] = prose = True
-    for i in messages:
-        # A notice among the frame of a page with content is frame; without content it stands in its place.
-        framed = prose and (bool(known[i]) or facts[i].notice)
-        own[i], known[i] = not framed, framed
-    sure = np.nonzero(own)[0]
-    for i in phrases:
-        known[i] = not len(sure) or not sure[0] < i < sure[-1]
-        own[i] = not known[i] and facts[i].prose
+    message: np.ndarray
+
+
+def read_pages(pdf: pd.DataFrame, template: Classes, forms: Forms) -> Iterator[Page]:
+    """Which lines of each parsed page belong to the frame (blank lines never do), and which are messages."""
+    b = Batch(pdf)
+    n = len(b.kinds)
+    known, message, notice = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    known[b.at] = template_lines(b, template)
+    message[b.at] = np.isin(b.groups, forms.messages).any(axis=1)
+    notice[b.at] = np.isin(b.groups[:, 0], forms.notices)
+    for begin, length in zip(b.begin, b.lengths, strict=True):
+        cut = slice(begin, begin + length)
+        yield _read(b.kinds[cut], b.flags[cut], known[cut], message[cut], notice[cut])
+
+
+def _read(kinds: np.ndarray, flags: np.ndarray, known: np.ndarray, message: np.ndarray, notice: np.ndarray) -> Page:
+    n = len(kinds)
+    text = kinds == TEXT
+    own = (kinds == HEADING) | (kinds == TABLE) | (kinds == CODE)
+    own |= text & ~known & ~message & ((flags & (PROSE | QUOTED | HOLDER)) > 0)
+    if message.any():
+        # A notice among the frame of a page with content is frame; without content a message stands in its place.
+        content = bool((own & text).any())
+        framed = message & content & (known | notice)
+        known, own = (known & ~message) | framed, own | (message & ~framed)
+        message = message & ~framed
+    sure = np.flatnonzero(own)
     if not len(sure):
-        rest = [i for i in texts if not known[i]]
-        body = set(rest if len(rest) == len(texts) else [])
-        return Page(lines, kinds, [k == "text" and i not in body for i, k in enumerate(kinds)], facts)
+        rest = text & ~known
+        body = rest if rest.sum() == text.sum() else np.zeros(n, bool)
+        return Page(kinds, flags, (text & ~body).tolist(), message)
     first, last = int(sure[0]), int(sure[-1])
-    heads = [i for i in sure if kinds[i] == "heading"]
-    if kinds[first] != "heading" and (not heads or first < heads[0]):
+    heads = sure[kinds[sure] == HEADING]
+    if kinds[first] != HEADING and (not len(heads) or first < heads[0]):
         # A first sentence without a heading: a line of its own right above it is its title.
         above = first - 1
-        while above >= 0 and kinds[above] == "blank":
+        while above >= 0 and kinds[above] == BLANK:
             above -= 1
-        if 0 <= above < first - 1 and kinds[above] == "text" and not known[above] and (above == 0 or kinds[above - 1] == "blank") and not _BULLET.match(lines[above]) and not _TRAIL.search(lines[above]):
+        if 0 <= above < first - 1 and text[above] and not known[above] and (above == 0 or kinds[above - 1] == BLANK) and not flags[above] & (BULLET | TRAIL):
             first = above
+    kind, is_known, is_own, bits = kinds.tolist(), known.tolist(), own.tolist(), flags.tolist()
     frame = [False] * n
     listing = False
-    for i, k in enumerate(kinds):
-        if k == "blank":
+    for i in range(n):
+        k = kind[i]
+        if k == BLANK:
             listing = False
         elif i < first or i > last:
-            frame[i] = k == "text"
-        elif k == "text" and known[i]:
+            frame[i] = k == TEXT
+        elif k == TEXT and is_known[i]:
             frame[i] = True
-            listing = facts[i].words <= 4
-        elif k == "text" and listing and not own[i]:
+            listing = bool(bits[i] & SHORT)
+        elif k == TEXT and listing and not is_own[i]:
             frame[i] = True
         else:
             listing = False
-    return Page(lines, kinds, frame, facts)
+    return Page(kinds, flags, frame, message)
+
+
+def read_all(df: DataFrame, item_id: str, url: str, text: str, out: Callable[[pd.DataFrame, list[Page]], pd.DataFrame], schema: str, params: FrameParams) -> DataFrame:
+    """out(parsed pages, their readings) over all pages: parse, deduce templates, find messages, read."""
+    pages = parsed(site_pages(df, item_id, url, text))
+    template = deduce_templates(pages, params)
+    forms = message_forms(pages, template, params)
+    return _apply(template, pages, lambda pdf, known: out(pdf, list(read_pages(pdf, known, forms))), schema, params)
 
 
 def frame_lines(df: DataFrame, item_id: str, url: str, text: str, params: FrameParams = FrameParams()) -> DataFrame:
@@ -457,30 +413,30 @@ def frame_lines(df: DataFrame, item_id: str, url: str, text: str, params: FrameP
     Null, empty and blank texts give no row; a page without a URL is read without its site's template; re-delivered ids count once; other
     columns are ignored.
     """
-    pages = site_pages(df, item_id, url, text)
-    kind = dict(df.dtypes)[item_id]
 
-    def run(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
-        ids, nos = [], []
-        for i, t, s, b in zip(pdf["item_id"], pdf["text"], pdf["site"], pdf["brand"], strict=True):
-            at = [j for j, f in enumerate(read_page(t, b, s, known).frame) if f]
-            ids.extend([i] * len(at))
-            nos.extend(at)
-        return pd.DataFrame({"item_id": np.array(ids, dtype=pdf["item_id"].dtype), "line_no": np.array(nos, np.int64)})
+    def out(pdf: pd.DataFrame, pages: list[Page]) -> pd.DataFrame:
+        at = [np.flatnonzero(p.frame) for p in pages]
+        return pd.DataFrame({"item_id": np.repeat(pdf["item_id"].to_numpy(), [len(x) for x in at]), "line_no": np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)})
 
-    return deduce_templates(pages, params).apply(pages, run, f"item_id {kind}, line_no bigint").distinct()
+    return read_all(df, item_id, url, text, out, f"item_id {dict(df.dtypes)[item_id]}, line_no bigint", params).distinct()
 
 
 def main_bodies(df: DataFrame, item_id: str, url: str, text: str, params: FrameParams = FrameParams()) -> DataFrame:
-    """(item_id, body): each page's text without its frame lines, outer blank lines removed."""
-    pages = site_pages(df, item_id, url, text)
+    """(item_id, body): each page's text without its frame lines, outer blank lines removed; rows as in `frame_lines`."""
     kind = dict(df.dtypes)[item_id]
 
-    def run(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
-        out = []
-        for t, s, b in zip(pdf["text"], pdf["site"], pdf["brand"], strict=True):
-            page = read_page(t, b, s, known)
-            out.append(re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, f in zip(page.lines, page.frame, strict=True) if not f)).strip("\n"))
-        return pd.DataFrame({"item_id": pdf["item_id"], "body": out})
-
-    return deduce_templates(pages, params).apply(pages, run, f"item_id {kind}, body string").dropDuplicates(["item_id"])
+    def out(pdf: pd.DataFrame, pages: list[Page]) -> pd.DataFrame:
+        return pd.DataFrame({"item_id": pdf["item_id"], "frame": [np.array(p.frame, bool).tobytes() for p in pages]})
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            bodies = []
+            for text, frame in zip(pdf["text"], pdf["frame"], strict=True):
+                kept = "\n".join(x for x, f in zip(text.split("\n"), np.frombuffer(frame, bool), strict=True) if not f)
+                bodies.append(re.sub(r"\n{3,}", "\n\n", kept).strip("\n"))
+            yield pd.DataFrame({"item_id": pdf["item_id"], "body": bodies})
+
+    # Frames are small, so they travel to the texts by id; a page's frame depends on its own text and site alone, so re-delivered rows agree.
+    frames = read_all(df, item_id, url, text, out, f"item_id {kind}, frame binary", params).dropDuplicates(["item_id"])
+    texts = site_pages(df, item_id, url, text).select("item_id", "text").dropDuplicates(["item_id"])
+    return texts.join(frames, "item_id").mapInPandas(cut, f"item_id {kind}, body string")

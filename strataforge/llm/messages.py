@@ -1,123 +1,57 @@
-"""Rules for messages that stand in place of content, and for placeholders left unfilled."""
+"""Forms of lines and titles, cues that make a widely recurring form a message, and placeholders left unfilled."""
 
 from __future__ import annotations
 
 import re
 
-# Whole lines (masked, in lower case, without end punctuation) that stand in place of content, as patterns.
-_S = r"(?:java ?scripts?|scripts?|scripting)"
-SCRIPT_LINES = [
-    rf"(?:please )?(?:turn on|enable|activate|allow|switch on) {_S}\b.{{0,60}}",
-    rf"(?:sorry, )?(?:you|this \w+|our \w+|the \w+|.{{1,30}}) (?:need|needs|require|requires|must)(?: to (?:enable|run|turn on|allow|have))? {_S}\b(?! for ).{{0,50}}",
-    rf"sorry, .{{1,40}} do(?:es)? not work (?:without|when) .{{0,30}}{_S}.{{0,30}}",
-    rf".{{1,60}} works? (?:best|only) with {_S} (?:allowed|enabled|turned on)\b.{{0,60}}",
-    rf"{_S} (?:is|are) (?:disabled|blocked|required|not enabled|turned off|switched off)\b.{{0,80}}",
-    r"noscript\b.{0,100}",
-    rf"loading\W*(?:if nothing happens.{{0,80}})?",
-    rf"your browser (?:is not supported|does not support)\b.{{0,80}}",
-    r"es necesario activar (?:java ?script|los? scripts?)\b.{0,60}",
-    r"(?:veuillez )?activ(?:er|ez) (?:java ?script|les scripts)\b.{0,60}",
-    r"bitte aktivieren sie (?:java ?script|skripte)\b.{0,60}",
-    r"(?:active|habilite) (?:o )?java ?script\b.{0,60}",
-    r"schakel java ?script in\b.{0,60}",
-    r"(?:please wait|just a moment|one moment please|checking your browser)\b.{0,60}",
-]
-ERROR_LINES = [
-    r"(?:error|erreur|fehler|http)? ?0\W{0,3}(?:not found|page not found|bad gateway|forbidden|unauthorized|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests)(?:\s*[.,:;!(–—-].{0,90})?",
-    r"(?:error|erreur|fehler) 0 ?: .{0,90}",
-    r"(?:page|document|file|site) (?:was )?not found(?:\s*[.,:;!(–—-].{0,90})?",
-    r"(?:bad gateway|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests)(?:\s*[.,:;!(–—-].{0,90})?",
-    r"seite nicht gefunden(?:\s*[.,:;!(–—-].{0,90})?",
-    r"(?:la )?page (?:demandée )?(?:est )?introuvable\b.{0,60}",
-    r"(?:p[áa]gina no encontrada|error interno del servidor)\b.{0,80}",
-    r"p[áa]gina não encontrada\b.{0,80}",
-    r"pagina niet gevonden\b.{0,80}",
-    r"interner serverfehler\b.{0,80}",
-    r"we looked everywhere\b.{0,90}",
-    r"hmm\W+we (?:cannot|can't|could not) find\b.{0,90}",
-    r"(?:oops|whoops)\W.{0,90}",
-    r"something went wrong\b.{0,80}",
-    r"application error\W+.{0,90}",
-    r"fatal error\W+.{0,120}",
-    r"traceback \(most recent call last\).{0,200}",
-    r"uncaught \w+.{0,90}",
-    r"this (?:link|page|document) (?:is broken|has been (?:moved|deleted|removed)|was (?:moved|deleted|unpublished|removed)|no longer exists|does not exist)\b.{0,80}",
-    r"the (?:requested )?(?:page|document|file|address)(?: you (?:requested|are looking for))? (?:has been|was) (?:moved|deleted|removed|unpublished)\b.{0,80}",
-    r"access denied\W+(?:you do not|your).{0,90}",
-    r"access denied",
-    r"your session has (?:expired|ended|timed out)\b.{0,80}",
-    r"checking your (?:connection|browser)\b.{0,80}",
-    r"(?:err|error)_[a-z0-9_]+\W.{0,120}",
-    r"sqlstate\[.{0,140}",
-    r"(?:could not connect to|connection (?:refused|reset|timed out|closed))\b.{0,100}",
-    r"request (?:failed|timed out|blocked)\b.{0,80}",
-    r"nothing here yet\b.{0,60}",
-    r"document moved(?:\s*[.,:;!(–—-].{0,90})?",
-]
-FILLER_LINES = [
-    r"(?:description|text|title|content|summary|body) goes here\b.{0,40}",
-    r"(?:this is )?(?:a )?placeholder (?:copy|text|content|paragraph)\b.{0,80}",
-    r"your (?:content|text|title|description) (?:goes )?here\b.{0,80}",
-    r"add (?:a|your) (?:short )?(?:summary|description|text)\b.{0,80}",
-    r"(?:todo|tbd|fixme)\W+(?:write|add|fill|describe|document|complete)\b.{0,60}",
-    r"(?:tbd|todo|fixme|tba|xxx+|asdf|qwer|foo|bla|blah|text|sample|lorem)(?:[\s,.;:]+(?:tbd|todo|fixme|tba|xxx+|asdf|qwer|foo|bla|blah|text|sample|lorem))+",
-    r"(?:tbd|tba|todo|fixme|coming soon|under construction)",
-    r"(?:(?:sample|example|dummy) (?:paragraph|text|sentence)\W*)+",
-    r"(?:blindtext|platzhalter|fülltext)\b.{0,90}",
-    r"(?:texto|texte) de (?:relleno|remplissage|prueba)\b.{0,60}",
-    r"(?:replace|insert) (?:this|your) (?:text|paragraph|content)\b.{0,60}",
-]
+SCRIPT, ERROR, FILLER = 1, 2, 4
+# Words of messages, by kind and language. A cue says nothing by itself: it is asked only of forms that recur across sources where content should be.
+_SCRIPT = re.compile(r"script|skript|\bbrowser\b|^loading\b|^just a moment|^(?:please )?wait\b")
+_ERROR = re.compile(
+    r"\berror|\berreur|\bfehler|serverfehler|not found|cannot|could not|does not exist|no longer|unavailable|gateway|denied|forbidden|unauthori[sz]ed|expired|timed? ?out|too many requests|moved|deleted|removed|unpublished|broken|wrong\b|exception|traceback|refused|unreachable|checking your|wandered|nothing here|come back|try again|oops|whoops"
+    r"|nicht (?:gefunden|verfügbar|erreichbar)|gibt es nicht|verweigert|abgelaufen|introuvable|indisponible|n'existe|refusé|expiré|no (?:se )?(?:ha |fue )?(?:sido )?encontrad|no (?:está )?disponible|no existe|caducado|não (?:foi )?encontrad|indisponível|negado|niet (?:gevonden|beschikbaar)|geweigerd|verlopen"
+)
+_FILLER = re.compile(r"¶|placeholder|goes here|content here|your own\b|blindtext|platzhalter|fülltext|relleno|remplissage|\btodo\b|\btbd\b|\btba\b|\bfixme\b|x{3,}|\basdf\b|\bqwer\b|\bbla\b|^(?:text|foo|sample|example|dummy|my new|new)\b|^add a|lorem|coming soon|under construction")
+#: Titles that are a printed missing value.
+_MISSING = re.compile(r"(?:null|undefined|none|nan|nil|n/?a|\[object object\]|\(null\)|true|false|untitled(?: (?:document|page))?)")
 #: Words of the usual filler Latin.
 FILLER_LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis "
     "nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-#: Titles that are an error, waiting, script or filler message, or a printed missing value, as patterns.
-TITLES = [
-    *SCRIPT_LINES, *FILLER_LINES, *ERROR_LINES,
-    r"(?:error|erreur|fehler|http error) ?0", r"0", r"(?:oops|whoops|error|erreur|fehler|loading|redirecting)", r"enable java ?script to continue", r"(?:sample|example|my new|new) page(?: title)?(?: \(.{0,20}\))?",
-    r"(?:null|undefined|none|nan|nil|n/?a|\[object object\]|\(null\)|true|false)", r"lorem ipsum(?: dolor.{0,40})?", r"moved permanently", r"forbidden", r"not found", r"untitled(?: document| page)?",
-]
 #: Forms of placeholders left unfilled.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,80}\}\}|\{%[^{}\n]{1,80}%\}|<%[^<>\n]{1,80}%>|[$#]\{[^{}\n]{1,60}\}|\$\[[^\[\]\n]{1,60}\]|\$[A-Z][A-Z0-9]*_[A-Z0-9_]+\b|(?<![\w%])%%?[A-Za-z][\w.]{1,40}%%?(?![\w%])"
     r"|@@\w[\w.]{0,40}@@|(?<![\w.])__[A-Z][A-Z0-9_]*__(?!\w)|\(\(\([^()\n]{1,60}\)\)\)|\[\[[^\[\]\n]{1,80}\]\]|<(?:your|insert|enter)[-_ ][\w -]{1,40}>|<[\w]+(?:[-_ ][\w]+)*[-_ ]here>"
     r"|\[(?:YOUR|INSERT|ENTER|ADD|REPLACE|FILL)[ _][^\[\]\n]{1,60}\](?!\()|\[[A-Z][A-Z _]{0,40} HERE\]|\[(?:your|insert|enter) [^\[\]\n]{1,60}\](?!\()"
 )
-#: What short lines and titles that recur across sites end with if they are messages, by language.
-_STATES = re.compile(
-    r"(?:\b(?:not found|not available|(?:cannot|can't|could not) be (?:found|reached|loaded|displayed)|unavailable|denied|forbidden|expired|timed out|no longer (?:available|exists?)|try again(?: later)?|(?:been|was|were) (?:moved|deleted|removed)|went wrong|come back later|please wait"
-    r"|nicht (?:gefunden|verfügbar|erreichbar|geladen werden)|(?:zugriff|zugang) verweigert|abgelaufen|schiefgelaufen|(?:später )?erneut versuchen|bitte warten"
-    r"|introuvable|indisponible|n'existe (?:pas|plus)|accès (?:refusé|interdit)|expirée?|(?:réessayer|plus tard)|veuillez patienter"
-    r"|no (?:se )?(?:ha sido |se ha |fue )?encontrad[ao]|no (?:está )?disponible|no existe|acceso denegado|(?:ha )?(?:caducado|expirado)|más tarde|espere"
-    r"|não (?:foi )?encontrad[ao]|indisponível|não existe|acesso negado|expirou|mais tarde|aguarde"
-    r"|niet (?:gevonden|beschikbaar)|toegang geweigerd|verlopen|later opnieuw|even geduld"
-    r"|non (?:è )?(?:stata )?(?:trovat[ao]|disponibile)|accesso negato|scadut[ao]|più tardi|attendere)|(?:见つかりません|見つかりません|未找到|不存在|не найден[ао]?|недоступн[аоы]?))\W*$",
-    re.I,
-)
 _MONTHS = r"(?:jan|feb|mar|mär|apr|may|mai|jun|jul|aug|sep|oct|okt|nov|dec|dez|ene|abr|ago|dic|janv|févr|fév|avr|juin|juil|août|déc|set|out|fev|mrt|mei)[^\W\d_]{0,7}\.?"
 _ADDRESS = re.compile(r"\b(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>()\[\]\"']+|[\w.+-]+@[\w§-]+(?:\.[\w§-]+)+")
 _DATE = re.compile(rf"\b0(?:st|nd|rd|th|er|\.|º)?(?: de)? {_MONTHS}(?:,?(?: de)? 0)?\b|\b{_MONTHS} 0(?:st|nd|rd|th)?(?:, ?0)?\b|\b0([-/.])0\1 ?0\b")
 _NUMBER = re.compile(r"\d+")
 _NEAR_ZERO = re.compile(r"0(?:st|nd|rd|th|er|\.|º)?(?: de)? [^\W\d_]|[^\W\d_]\.? 0|0[-/.]0")  # what every date has
 _CODE_SPAN = re.compile(r"``[^\n]*?``|`[^`\n]*`")
-_MESSAGE = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES + ERROR_LINES + FILLER_LINES))
-_SCRIPT = re.compile("|".join(f"(?:{x})" for x in SCRIPT_LINES))
-_TITLE = re.compile("|".join(f"(?:{x})" for x in TITLES))
-_CUES = re.compile(r"error|not found|unavailable|denied|expired|missing|scripts?\b|javascript|placeholder|goes here|moved|deleted|removed|try again|come back|later|wait|sorry|oops|cannot|could not|broken|soon", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|(?<!\w)'[^']*'(?!\w)")
+_PATH = re.compile(r"(?<!\S)[\w.-]*/[\w./%-]*\w|\b[\w-]+\.[a-z][a-z0-9]{0,4}\b")
+_CODED = re.compile(r"\w*(?:0\w*[a-f]|[a-f]\w*0)\w*")
+_MIDDLE = re.compile(r"_\w*_")
+#: The words titles that are messages consist of; a title with any other word has a subject.
+TITLE_WORDS = FILLER_LATIN | frozenset(
+    "a an and the this that your you we is are was be been has have to on in of for it not no please try again later sorry continue me my new page site document file content link address title text description body summary paragraph"
+    " error erreur fehler http 0 internal server bad gateway timeout timed out service temporarily unavailable access denied forbidden unauthorized unauthorised session expired ended too many requests request moved permanently deleted removed found exist exists available oops whoops something went wrong nothing here yet come back refused connection exception"
+    " enable turn activate allow javascript java script scripts scripting browser supported disabled loading redirecting wait just moment one checking run required app"
+    " sample example placeholder dummy goes replace insert add todo tbd tba fixme xxx asdf coming soon under construction untitled"
+    " seite nicht gefunden verfügbar erreichbar zugriff zugang verweigert abgelaufen sitzung bitte aktivieren sie interner serverfehler warten kanal dienst zurzeit von § page demandée introuvable indisponible la le accès refusé expiré expirée veuillez patienter activer"
+    " página pagina no encontrada encontrado disponible existe acceso denegado caducado sesión não encontrada indisponível acesso negado niet gevonden beschikbaar toegang geweigerd verlopen".split()
+)
 _WORD = re.compile(r"[^\W_]+")
-_TRIM = " \t\r-*#_.!…:;"
-
+_SITE_NAME = re.compile(r"\s+[|–—·-]\s+[^|–—·]+$")
 
 #: Share of a line's words that must be filler Latin, and least words.
 FILLER_SHARE, FILLER_WORDS = 0.8, 6
 
 
-def normalise(line: str) -> str:
-    return re.sub(r"\d+", "0", line.strip(_TRIM).lower())
-
-
 def masked(line: str) -> str:
     """A line in lower case without its addresses, dates and numbers."""
     s = line.strip().lower()
@@ -127,41 +61,53 @@ def masked(line: str) -> str:
     return _DATE.sub("0", bare) if "0" in bare and _NEAR_ZERO.search(bare) else bare
 
 
-def ends_in_state(line: str) -> bool:
-    """What a message ends with; by itself no proof, since own titles may end so too."""
-    return _STATES.search(line) is not None
+def form(bare: str) -> str:
+    """A masked line without its quotations, paths, file names and code names; filler Latin as one sign."""
+    if '"' in bare or "'" in bare or "“" in bare or "«" in bare:
+        bare = _QUOTED.sub('""', bare)
+    if "/" in bare or "." in bare[:-1]:
+        bare = _PATH.sub("@", bare)
+    if "0" in bare:
+        bare = _CODED.sub("0", bare)
+    if "_" in bare:
+        bare = _MIDDLE.sub("_", bare)
+    return "¶" if is_filler_latin(bare) else bare
 
 
 def is_filler_latin(line: str) -> bool:
+    if not any(w.strip(",.;:") in FILLER_LATIN for w in line[:60].lower().split(None, 3)[:3]):
+        return False
     words = _WORD.findall(line.lower())
     return len(words) >= FILLER_WORDS and sum(w in FILLER_LATIN for w in words) >= FILLER_SHARE * len(words)
 
 
-def is_message(line: str, words: int | None = None) -> bool:
-    """A whole line that is an error, script or filler message."""
-    if (words if words is not None else len(line) / 6) <= 30 and len(line) <= 260 and _MESSAGE.fullmatch(normalise(line)):
-        return True
-    return any(w.strip(",.;:").lower() in FILLER_LATIN for w in line[:60].split(None, 3)[:3]) and is_filler_latin(line)
-
-
-def is_script_notice(line: str) -> bool:
-    return _SCRIPT.fullmatch(normalise(line)) is not None
+def cue(bare: str) -> int:
+    """SCRIPT, ERROR and FILLER bits of the cues in a form."""
+    return SCRIPT * (_SCRIPT.search(bare) is not None) | ERROR * (_ERROR.search(bare) is not None) | FILLER * (_FILLER.search(bare) is not None)
 
 
 def has_placeholder(text: str) -> bool:
     return PLACEHOLDER.search(text) is not None and PLACEHOLDER.search(_CODE_SPAN.sub(" ", text)) is not None
 
 
-def bad_title(title: str | None, brand: str = "") -> bool:
-    """A title that is or contains an unfilled placeholder, or is a message, filler or a printed missing value. Null and blank are not."""
-    if not title or not title.strip():
-        return False
-    if has_placeholder(title):
-        return True
-    whole = title.strip().lower()
-    for t in {whole, re.sub(r"\s+[|–—·-]\s+[^|–—·]{1,40}$", "", whole)}:
-        if _TITLE.fullmatch(re.sub(r"\d+", "0", t.strip(_TRIM + "()"))) or _TITLE.fullmatch(re.sub(r"\d+", "0", t)):
-            return True
-    return False
+def title_forms(title: str, brand: str) -> list[str]:
+    """The forms of a title that are counted: whole, and without a site's name at its end."""
+    bare = title.strip().lower()
+    short = _SITE_NAME.sub("", bare)
+    out = []
+    for t in dict.fromkeys((bare, short)):
+        if brand and brand in t:
+            t = re.sub(rf"(?<!\w){re.escape(brand)}(?!\w)", "§", t)
+        t = form(masked(t)).strip(" \t\r-*#_.!…:;")
+        if t:
+            out.append(t)
+    return out
+
+
+def is_message_title(bare: str) -> bool:
+    """A title's form that has a cue and no word but those of messages."""
+    return cue(bare) > 0 and all(w in TITLE_WORDS for w in re.findall(r"[^\W_]+|§", bare))
 
 
+def is_missing_value(title: str) -> bool:
+    return _MISSING.fullmatch(title.strip().lower()) is not None

@@ -1,13 +1,12 @@
 """Template residue, filler, error and script messages in place of content.
 
-Lines are masked (numbers, addresses, dates, the site's own name), and exact hashes of the masked lines are grouped across sites, in the
-same pass that deduces page frames. Phrases that only such messages consist of are rules of their own (`messages`); a short line that stands
-nearly alone where content should be and that many sites share counts with weaker cues. Placeholders count wherever they stand outside code.
+Lines and titles are masked (numbers, addresses, dates, the site's own name, quotations, paths, code names), and exact hashes of their forms are grouped across
+sources. Widely recurring forms are classified: a page's by cues and by the share of their pages that hold nothing else (`boilerplate.message_forms`), a title's by
+cues and by the words messages consist of. Placeholders are told by their form and count wherever they stand outside code.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,30 +14,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from . import boilerplate
-from .boilerplate import FrameParams, Templates
-from .messages import PLACEHOLDER, bad_title, ends_in_state, has_placeholder, masked
+from . import boilerplate, lines
+from .boilerplate import FrameParams, Page
+from .lines import HOLDER, TEXT
+from .messages import has_placeholder, is_message_title, is_missing_value, title_forms
 
-#: Cues that make a short line recurring on many sites a message.
-_CUES = re.compile(r"error|not found|unavailable|denied|expired|missing|scripts?\b|javascript|placeholder|goes here|moved|deleted|removed|try again|come back|later|wait|sorry|oops|cannot|could not|broken|soon", re.I)
-_SITE_NAME = re.compile(r"\s+[|–—·-]\s+[^|–—·]{1,40}$")
-WEAK_WORDS = 14
-TITLE_WORDS = 8
 
-
-def page_residue(text: str, site: int, brand: str, templates: Templates) -> str | None:
+def page_residue(page: Page) -> str | None:
     """'placeholder', 'message' or None."""
-    page = boilerplate.read_page(text, brand, site, templates)
-    if PLACEHOLDER.search(text) and has_placeholder("\n".join(x for x, k in zip(page.lines, page.kinds, strict=True) if k != "code")):
+    if (page.flags & HOLDER).any():
         return "placeholder"
-    body = [(x, f) for x, f, k, framed in zip(page.lines, page.facts, page.kinds, page.frame, strict=True) if k == "text" and not framed]
-    if any(f.message for _, f in body):
-        return "message"
-    # A line that many sites share, standing nearly alone where content should be.
-    if 0 < len(body) <= 3 and any(f.words <= WEAK_WORDS and (_CUES.search(x) or ends_in_state(x)) and boilerplate.member(templates.wide, f.token) for x, f in body):
-        return "message"
-    return None
+    return "message" if any(m and not f for m, f, k in zip(page.message, page.frame, page.kinds, strict=True) if k == TEXT) else None
 
 
 def residue_pages(df: DataFrame, item_id: str, url: str, text: str, frame: FrameParams = FrameParams()) -> DataFrame:
@@ -47,54 +33,41 @@ def residue_pages(df: DataFrame, item_id: str, url: str, text: str, frame: Frame
     Null, empty and blank texts give no row; a null URL puts a page on a site of its own; re-delivered ids count once;
     other columns are ignored.
     """
-    pages = boilerplate.site_pages(df, item_id, url, text)
-    kind = dict(df.dtypes)[item_id]
 
-    def run(pdf: pd.DataFrame, known: Templates) -> pd.DataFrame:
-        out = [(i, r) for i, t, s, b in zip(pdf["item_id"], pdf["text"], pdf["site"], pdf["brand"], strict=True) if (r := page_residue(t, s, b, known))]
-        return pd.DataFrame(out, columns=["item_id", "reason"])
+    def out(pdf: pd.DataFrame, pages: list[Page]) -> pd.DataFrame:
+        rows = [(i, r) for i, p in zip(pdf["item_id"], pages, strict=True) if (r := page_residue(p))]
+        return pd.DataFrame(rows, columns=["item_id", "reason"])
 
-    return boilerplate.deduce_templates(pages, frame).apply(pages, run, f"item_id {kind}, reason string").dropDuplicates(["item_id"])
+    return boilerplate.read_all(df, item_id, url, text, out, f"item_id {dict(df.dtypes)[item_id]}, reason string", frame).dropDuplicates(["item_id"])
 
 
-def residue_titles(df: DataFrame, item_id: str, title: str, url: str | None = None, wide_sites: int = FrameParams.wide_sites) -> DataFrame:
+def residue_titles(df: DataFrame, item_id: str, title: str, url: str | None = None, least_sites: int = FrameParams.least_sites) -> DataFrame:
     """(item_id) of titles that are residue; null and blank titles are not, re-delivered ids count once.
 
-    Short titles that end like a message in any of the languages are residue if their masked form, without the source's own name, stands on
-    `wide_sites` sources (hosts of `url`) and more. Rows without an address are on no source.
+    A title with an unfilled placeholder, or that is a printed missing value, is residue by itself. One whose form, whole or without a site's name at its end, consists of the
+    words of messages is residue if the form stands on `least_sites` sources (hosts of `url`) and more. Rows without an address are on no source.
     """
     kind = dict(df.dtypes)[item_id]
-    host, brand = boilerplate.site_columns(F.col(url)) if url else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    host, brand = lines.site_columns(F.col(url)) if url else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[bool, bool]] = {}
+        memo: dict[tuple[str, str], tuple[bool, list[int]]] = {}
         for pdf in it:
             if len(memo) > 200_000:
                 memo.clear()
             out = []
             for i, t, h, b in zip(pdf["item_id"], pdf["title"], pdf["host"], pdf["brand"], strict=True):
-                if t not in memo:
-                    bad = bad_title(t)
-                    memo[t] = bad, not bad and t.count(" ") < TITLE_WORDS + 4
-                bad, weak = memo[t]
+                key = (t, b or "")
+                if key not in memo:
+                    memo[key] = has_placeholder(t) or is_missing_value(t), [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in title_forms(*key) if is_message_title(x)]
+                bad, forms = memo[key]
                 if bad:
                     out.append((i, True, None, None))
-                elif weak and h and (token := title_token(t, b or "")) is not None:
-                    out.append((i, False, token, h))
-            yield pd.DataFrame(out, columns=["item_id", "bad", "token", "host"]).astype({"token": "Int64"})
+                else:
+                    out.extend((i, False, x, h or None) for x in forms)
+            yield pd.DataFrame(out, columns=["item_id", "bad", "form", "host"]).astype({"form": "Int64"})
 
     rows = df.select(F.col(item_id).alias("item_id"), F.col(title).cast("string").alias("title"), host.alias("host"), brand.alias("brand")).where(F.col("title").isNotNull())
-    rows = cut_lineage(rows.mapInPandas(run, f"item_id {kind}, bad boolean, token bigint, host string"))
-    wide = rows.where("not bad").select("token", "host").distinct().groupBy("token").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= wide_sites)
-    return rows.where("bad").select("item_id").unionByName(rows.where("not bad").join(wide, "token", "left_semi").select("item_id")).dropDuplicates(["item_id"])
-
-
-def title_token(title: str, brand: str) -> int | None:
-    """The hash of a short title's masked form without a site's name at its end; None if it does not end like a message."""
-    bare = _SITE_NAME.sub("", title.strip().lower())
-    if bare.count(" ") >= TITLE_WORDS or not ends_in_state(bare):
-        return None
-    if brand and brand in bare:
-        bare = re.sub(rf"(?<!\w){re.escape(brand)}(?!\w)", "§", bare)
-    bare = masked(bare)
-    return xxhash.xxh3_64_intdigest(bare) - (1 << 63)
+    rows = boilerplate.cut_lineage(rows.mapInPandas(run, f"item_id {kind}, bad boolean, form bigint, host string"))
+    wide = rows.where("not bad and host is not null").select("form", "host").distinct().groupBy("form").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= least_sites)
+    return rows.where("bad").select("item_id").unionByName(rows.where("not bad").join(wide, "form", "left_semi").select("item_id")).dropDuplicates(["item_id"])

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataforge.llm import boilerplate, language, leakage, messages, near_copies, neighbours, packing, page_identity, pieces, queries, residue
+from strataforge.llm import boilerplate, language, leakage, lines, messages, near_copies, neighbours, packing, page_identity, pieces, queries, residue
 from tests.oracle import compare
 
 
@@ -32,6 +32,8 @@ def test_equals_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_query_runs_over_whole_tables(spark, sf, name):
+    if name == "p3_found":  # messages must stand on several sources, which the smallest tables do not have
+        sf = sf.replace("0.001", "0.01")
     df = queries.queries()[name](spark, sf)
     assert df.count() > 0
     if name.endswith("_found"):
@@ -124,19 +126,14 @@ def test_pieces_of_odd_rows(spark):
 
 
 # --- 3 and 5: messages, placeholders, frames
-@pytest.mark.parametrize("line", ["Please enable JavaScript to view this site.", "502 Bad Gateway", "Oops! Something broke.", "TODO: write this section", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "xxx xxx xxx", "Seite nicht gefunden.", "ERR_X_UNREACHABLE: no body", "Error 404: page not found"])
-def test_messages(line):
-    assert messages.is_message(line)
+@pytest.mark.parametrize(("title", "bad"), [("404 Not Found", True), ("Page not found - lib", True), ("Page not found handlers in lib", False), ("Handling 404 responses", False), ("Access denied: how the policy works", False), ("Enable JavaScript to continue", True), ("Seite nicht gefunden", True), ("Why a row returns error 12", False), ("Lorem ipsum generator plugin", False), ("Running lib without JavaScript", False), ("Your session has expired | lib", True)])
+def test_title_forms(title, bad):
+    assert any(messages.is_message_title(x) for x in messages.title_forms(title, "lib")) is bad
 
 
-@pytest.mark.parametrize("line", ["", "Error 500 usually means that the worker lost its lease.", 'The page says "enable JavaScript" when a script fails to load.', "Users who disable JavaScript still get the table as plain HTML.", '"Page not found" is the message that the row shows.', "This site needs scripts for search and dark mode.", "The preview is filled with lorem ipsum until the text arrives."])
-def test_no_messages(line):
-    assert not messages.is_message(line)
-
-
-@pytest.mark.parametrize(("title", "bad"), [(None, False), (" ", False), ("{{title}} | lib", True), ("NaN", True), ("[object Object]", True), ("404 Not Found", True), ("Page not found - lib", True), ("Page not found handlers in lib", False), ("Handling 404 responses", False), ("Template placeholders: `{{ x }}` syntax", False), ("Null and empty rules", False), ("Access denied: how the policy works", False), ("$PAGE_NAME - lib", True), ("Enable JavaScript to continue", True)])
-def test_titles(title, bad):
-    assert messages.bad_title(title) is bad
+def test_forms_leave_out_what_varies():
+    pairs = [("Access denied to /a/b on this server.", "access denied to /c on this server."), ('ERR_X_DOWN: "x" sent 3', "err_y_down: \"zz\" sent 40"), ("Incident 0acf3e1.", "incident 77ab."), ("Error in token.php on line 3", "error in x.py on line 40"), ("Nulla sint occaecat aute nisi amet.", "Elit sed do magna aliqua enim quis.")]
+    assert all(messages.form(messages.masked(a)) == messages.form(messages.masked(b)) for a, b in pairs)
 
 
 def site(n=12):
@@ -173,14 +170,55 @@ def test_labels_of_bodies_are_no_template(spark):
         assert not any("Edit this page" in bodies[i] for i in range(12)) and all("Caveats" in bodies[100 + i] for i in range(6))
 
 
-def test_frame_words_count_only_around_bodies_of_small_sites(spark):
-    text = "We use cookies {0}\n\n# Headers {0}\n\nThe {0} header is described in many own words here.\n\nWe keep {0} session cookies until the copyright header says so.\n\nThe end of the {0} page has other own words again.\n\nCopyright of {0}, all rights reserved."
-    names = [chr(97 + i % 26) * (1 + i // 26) for i in range(130)]
-    rows = [(i, "https://few.example/p" if i < 4 else "https://many.example/p", text.format(names[i])) for i in range(130)]
+WORDS = [chr(97 + i % 26) * 2 + chr(97 + i // 26 % 26) * 2 for i in range(400)]
+
+
+def sentence(i, n=12):
+    return " ".join(random.Random(i).choices(WORDS, k=n)) + "."
+
+
+def varied(n=24):
+    """Pages whose neighbour links differ everywhere and read like sentences, and in whose bodies a label and a sentence recur."""
+    rows = []
+    for i in range(n):
+        body = f"# {WORDS[i]}\n\n{sentence(i)}\n\nReturns\n\nThat is all there is to know about it for now.\n\n{sentence(i + 1000)}"
+        rows.append((i, "https://lone.example/p", f"{body}\n\nPreceding chapter of this book: {sentence(i + 2000)[:-1]}\nFollowing: {sentence(i + 3000)[:-1]} >>>"))
+    return rows
+
+
+def frames(spark, rows):
     got = {}
     for r in boilerplate.frame_lines(spark.createDataFrame(rows, "k bigint, url string, body string"), "k", "url", "body").collect():
         got.setdefault(r.item_id, set()).add(r.line_no)
-    assert all(got[i] == {0, 10} for i in range(4)) and not any(6 in v for v in got.values()) and not any(10 in got.get(i, ()) for i in range(4, 130))
+    return got
+
+
+def test_classes_find_lines_that_never_recur_and_leave_recurring_bodies(spark, monkeypatch):
+    rows = varied()
+    got = frames(spark, rows)
+    assert all(got.get(i) == {10, 11} for i in range(24))  # both neighbour links, neither the label nor the recurring sentence of the body
+    # With lines counted alone, as many as before are frequent, and none of those is frame.
+    monkeypatch.setattr(boilerplate, "word_classes", lambda often: often.where("whole = 1").selectExpr("site", "token", "token as cls", "1 as lines", "1 as words", "prose", "whole", "false as enclosing"))
+    assert frames(spark, rows) == {}
+
+
+def test_a_thin_frame_line_is_found_through_its_class(spark, monkeypatch):
+    rows = [(i, "https://thin.example/p", f"# {WORDS[i]}\n\n{sentence(i)}\n\n" + (f"Rate it\n\n{sentence(i + 1000)}\n\nShare it" if i % 5 == 0 else sentence(i + 1000))) for i in range(30)]
+    # The upper line of the class stands among the body's own lines, the lower one after them.
+    got = frames(spark, rows)
+    assert all(got.get(i, set()) == ({4, 8} if i % 5 == 0 else set()) for i in range(30))
+    whole = boilerplate.word_classes
+    monkeypatch.setattr(boilerplate, "word_classes", lambda often: whole(often).withColumn("lines", F.lit(1)))
+    assert all(4 not in v for v in frames(spark, rows).values())
+
+
+def test_sites_that_share_no_wording(spark):
+    rows = []
+    for j in range(4):
+        a, b, c, d = WORDS[300 + j * 5 : 304 + j * 5]
+        rows += [(100 * j + i, f"https://s{j}.example/p", f"{a} {b}\n{c}\n\n# {WORDS[i]}\n\n{sentence(100 * j + i)}\n\n{d} {a} {c} {b} {d} {b} {a} {c} {a}.\n{b} {d}") for i in range(20)]
+    got = frames(spark, rows)
+    assert len(got) == 80 and all(v == {0, 1, 7, 8} for v in got.values())
 
 
 def test_long_lines_are_template_too(spark):
@@ -200,16 +238,30 @@ def test_residue_pages(spark):
     frame = site()
     page = lambda body: frame[0][2].split("# Topic")[0] + body + "\nWas this page helpful? Yes No\n(c) 2024 Lib. All rights reserved."
     rows = [*frame, (20, "https://docs.lib.example/a", page("Please turn on scripts in your browser to view this page.")), (21, "https://docs.lib.example/b", page("# T\n\nDear {{ name }}, your queue is ready and waiting for you.")), (22, "https://docs.lib.example/c", page("# T\n\nWrite `{{ name }}` where the name should appear.\n\n```\n{{ x }}\n```\n\nThe rest of the page is as usual and long enough.")), (23, None, "Description goes here."), (24, "u", None)]
-    df = spark.createDataFrame(rows, "k bigint, url string, body string")
-    assert {(r.item_id, r.reason) for r in residue.residue_pages(df, "k", "url", "body").collect()} == {(20, "message"), (21, "placeholder"), (23, "message")}
-    t = spark.createDataFrame([(1, "NaN"), (1, "NaN"), (2, None), (3, "Fine")], "k bigint, title string")
-    assert [r.item_id for r in residue.residue_titles(t, "k", "title").collect()] == [1]
+    rows += [(30 + i, f"https://h{i}.example/p", f"# Part {WORDS[i]}\n\n" + m) for i, m in enumerate(["Please turn on scripts in your browser to view this page.", "Description goes here."] * 3)]
+    rows += [(50, "https://h0.example/q", "# Notes\n\nThe server then says what it is that has gone wrong in it.\n\nPlease turn on scripts in your browser to view this page.\n\nAfter this it waits for another call to come.")]
+    rows += [(60 + i, f"https://u{i}.example/p", f"# {WORDS[i]}\n\nThis corridor leads back to the garden of nobody.") for i in range(10)]  # wording no cue knows
+    rows += [(80 + i, f"https://v{i}.example/p", f"# {WORDS[i]}\n\nThe {WORDS[i]} part has a text of its own.\n\nThis is a closing line that all of the manuals have.\n\nThe {WORDS[i]} part ends with its own words.") for i in range(10)]
+    df = spark.createDataFrame(rows, "k bigint, url string, body string").withColumn("site", F.lit("clash"))
+    got = {(r.item_id, r.reason) for r in residue.residue_pages(df, "k", "url", "body").collect()}
+    assert got == {(20, "message"), (21, "placeholder"), (23, "message"), *((i, "message") for i in [*range(30, 36), *range(60, 70)])}
+    assert residue.residue_pages(df.limit(0), "k", "url", "body").count() == 0
+    t = spark.createDataFrame([(1, "NaN"), (1, "NaN"), (2, None), (3, "Fine"), (4, " "), (5, "{{title}} | lib"), (6, "Template placeholders: `{{ x }}` syntax")], "k bigint, title string")
+    assert sorted(r.item_id for r in residue.residue_titles(t, "k", "title").collect()) == [1, 5]
+
+
+def test_messages_come_from_groups(spark, sf, monkeypatch):
+    scrapes = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/scrape_results.parquet")
+    find = lambda: {r.item_id for r in residue.residue_pages(scrapes, "result_id", "url", "text_content").where("reason = 'message'").collect()}
+    assert len(find()) > 2
+    monkeypatch.setattr(boilerplate, "message_forms", lambda *a: boilerplate.Forms())
+    assert find() == set()
 
 
 def test_titles_are_counted_across_sources(spark):
     rows = [(i, f"https://docs.h{i}x.example/p", f"Dienst {i} von h{i}x zurzeit nicht verfügbar - h{i}x") for i in range(8)]
-    rows += [(20 + i, f"https://h{i}x.example/p", f"Kanal {'abcdefgh'[i]} nicht verfügbar") for i in range(8)] + [(40 + i, "https://one.example/p", "Quelle nicht verfügbar") for i in range(9)]
-    rows += [(60 + i, f"https://h{i}x.example/p", "Handling a missing page") for i in range(9)] + [(80, None, "Dienst 1 von § zurzeit nicht verfügbar")]
+    rows += [(20 + i, f"https://h{i}x.example/p", f"Kanal {'abcdefgh'[i]} nicht verfügbar") for i in range(8)] + [(40 + i, "https://one.example/p", "Seite nicht verfügbar") for i in range(9)]
+    rows += [(60 + i, f"https://h{i}x.example/p", "Handling a missing page") for i in range(9)] + [(80, None, "Bad gateway")]
     got = residue.residue_titles(spark.createDataFrame(rows, "k bigint, u string, t string"), "k", "t", "u").collect()
     assert sorted(r.item_id for r in got) == list(range(8))
 
