@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .messages import PLACEHOLDER, cue, form, has_placeholder, masked
+from .messages import HOLDER_START, cue, form, has_placeholder, masked
 
 BLANK, CODE, HEADING, TABLE, TEXT = range(5)
 #: Flags of a line; cues of `messages.cue` stand above them.
@@ -152,7 +152,7 @@ def _parse(pdf: pd.DataFrame) -> pd.DataFrame:
             if k == TEXT:
                 t, flags[i] = read(lines[i])
                 tokens.append(t)
-        if PLACEHOLDER.search(text):
+        if HOLDER_START.search(text):
             for i, k in enumerate(kinds):
                 if k != CODE and k != BLANK and has_placeholder(lines[i]):
                     flags[i] |= HOLDER

@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 
 SCRIPT, ERROR, FILLER = 1, 2, 4
-# Words of messages, by kind and language. A cue says nothing by itself: it is asked only of forms that recur across sources where content should be.
-_SCRIPT = re.compile(r"script|skript|\bbrowser\b|^loading\b|^just a moment|^(?:please )?wait\b")
-_ERROR = re.compile(
-    r"\berror|\berreur|\bfehler|serverfehler|not found|cannot|could not|does not exist|no longer|unavailable|gateway|denied|forbidden|unauthori[sz]ed|expired|timed? ?out|too many requests|moved|deleted|removed|unpublished|broken|wrong\b|exception|traceback|refused|unreachable|checking your|wandered|nothing here|come back|try again|oops|whoops"
-    r"|nicht (?:gefunden|verfügbar|erreichbar)|gibt es nicht|verweigert|abgelaufen|introuvable|indisponible|n'existe|refusé|expiré|no (?:se )?(?:ha |fue )?(?:sido )?encontrad|no (?:está )?disponible|no existe|caducado|não (?:foi )?encontrad|indisponível|negado|niet (?:gevonden|beschikbaar)|geweigerd|verlopen"
+# Words of messages, by kind. A cue says nothing by itself: it is asked only of forms that recur across sources where content should be.
+SCRIPT_WORDS = frozenset("javascript java-script script scripts scripting skripte noscript browser loading wait moment".split())
+ERROR_WORDS = frozenset(
+    "error erreur fehler serverfehler err found cannot could unavailable gateway denied forbidden unauthorized unauthorised expired timeout timed requests moved deleted removed unpublished broken wrong exception traceback refused unreachable oops whoops hmm wandered nothing back again"
+    " gefunden verfügbar erreichbar verweigert abgelaufen introuvable indisponible n'existe refusé expiré encontrada encontrado disponible existe caducado indisponível negado gevonden beschikbaar geweigerd verlopen connection checking".split()
 )
-_FILLER = re.compile(r"¶|placeholder|goes here|content here|your own\b|blindtext|platzhalter|fülltext|relleno|remplissage|\btodo\b|\btbd\b|\btba\b|\bfixme\b|x{3,}|\basdf\b|\bqwer\b|\bbla\b|^(?:text|foo|sample|example|dummy|my new|new)\b|^add a|lorem|coming soon|under construction")
+FILLER_WORDS_OF = frozenset("¶ placeholder goes here blindtext platzhalter fülltext relleno remplissage todo tbd tba fixme xxx asdf qwer bla lorem sample dummy example text summary replace own soon construction new".split())
 #: Titles that are a printed missing value.
 _MISSING = re.compile(r"(?:null|undefined|none|nan|nil|n/?a|\[object object\]|\(null\)|true|false|untitled(?: (?:document|page))?)")
 #: Words of the usual filler Latin.
@@ -26,6 +26,8 @@ PLACEHOLDER = re.compile(
     r"|@@\w[\w.]{0,40}@@|(?<![\w.])__[A-Z][A-Z0-9_]*__(?!\w)|\(\(\([^()\n]{1,60}\)\)\)|\[\[[^\[\]\n]{1,80}\]\]|<(?:your|insert|enter)[-_ ][\w -]{1,40}>|<[\w]+(?:[-_ ][\w]+)*[-_ ]here>"
     r"|\[(?:YOUR|INSERT|ENTER|ADD|REPLACE|FILL)[ _][^\[\]\n]{1,60}\](?!\()|\[[A-Z][A-Z _]{0,40} HERE\]|\[(?:your|insert|enter) [^\[\]\n]{1,60}\](?!\()"
 )
+#: What every such form starts with; cheap to look for.
+HOLDER_START = re.compile(r"[{%$@_(\[<#](?=[{%$@_(\[\w])")
 _MONTHS = r"(?:jan|feb|mar|mär|apr|may|mai|jun|jul|aug|sep|oct|okt|nov|dec|dez|ene|abr|ago|dic|janv|févr|fév|avr|juin|juil|août|déc|set|out|fev|mrt|mei)[^\W\d_]{0,7}\.?"
 _ADDRESS = re.compile(r"\b(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>()\[\]\"']+|[\w.+-]+@[\w§-]+(?:\.[\w§-]+)+")
 _DATE = re.compile(rf"\b0(?:st|nd|rd|th|er|\.|º)?(?: de)? {_MONTHS}(?:,?(?: de)? 0)?\b|\b{_MONTHS} 0(?:st|nd|rd|th)?(?:, ?0)?\b|\b0([-/.])0\1 ?0\b")
@@ -33,9 +35,10 @@ _NUMBER = re.compile(r"\d+")
 _NEAR_ZERO = re.compile(r"0(?:st|nd|rd|th|er|\.|º)?(?: de)? [^\W\d_]|[^\W\d_]\.? 0|0[-/.]0")  # what every date has
 _CODE_SPAN = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|(?<!\w)'[^']*'(?!\w)")
-_PATH = re.compile(r"(?<!\S)[\w.-]*/[\w./%-]*\w|\b[\w-]+\.[a-z][a-z0-9]{0,4}\b")
+_FILE = re.compile(r"[\w-]+\.[a-z][a-z0-9]{0,4}\W*")
 _CODED = re.compile(r"\w*(?:0\w*[a-f]|[a-f]\w*0)\w*")
-_MIDDLE = re.compile(r"_\w*_")
+_MIDDLE = re.compile(r"_(?:\w*_)?")
+_EDGES = " \t\"'`*_.,:;!?…()[]-–—"
 #: The words titles that are messages consist of; a title with any other word has a subject.
 TITLE_WORDS = FILLER_LATIN | frozenset(
     "a an and the this that your you we is are was be been has have to on in of for it not no please try again later sorry continue me my new page site document file content link address title text description body summary paragraph"
@@ -65,15 +68,19 @@ def form(bare: str) -> str:
     """A masked line without its quotations, paths, file names and code names; filler Latin as one sign."""
     if '"' in bare or "'" in bare or "“" in bare or "«" in bare:
         bare = _QUOTED.sub('""', bare)
-    if "/" in bare or "." in bare[:-1]:
-        bare = _PATH.sub("@", bare)
-    if "0" in bare:
-        bare = _CODED.sub("0", bare)
-    if "_" in bare:
-        bare = _MIDDLE.sub("_", bare)
+    if "/" in bare or "_" in bare or "0" in bare or "." in bare[:-1]:
+        bare = " ".join([_word_form(w) if "/" in w or "_" in w or "0" in w or "." in w[:-1] else w for w in bare.split()])
     return "¶" if is_filler_latin(bare) else bare
 
 
+def _word_form(w: str) -> str:
+    if "/" in w[:-1] or _FILE.fullmatch(w):
+        return "@"
+    if "0" in w:
+        w = _CODED.sub("0", w)
+    return _MIDDLE.sub(" ", w) if "_" in w else w
+
+
 def is_filler_latin(line: str) -> bool:
     if not any(w.strip(",.;:") in FILLER_LATIN for w in line[:60].lower().split(None, 3)[:3]):
         return False
@@ -83,11 +90,12 @@ def is_filler_latin(line: str) -> bool:
 
 def cue(bare: str) -> int:
     """SCRIPT, ERROR and FILLER bits of the cues in a form."""
-    return SCRIPT * (_SCRIPT.search(bare) is not None) | ERROR * (_ERROR.search(bare) is not None) | FILLER * (_FILLER.search(bare) is not None)
+    words = {w.strip(_EDGES) for w in bare.split()}
+    return SCRIPT * (not words.isdisjoint(SCRIPT_WORDS)) | ERROR * (not words.isdisjoint(ERROR_WORDS)) | FILLER * (not words.isdisjoint(FILLER_WORDS_OF))
 
 
 def has_placeholder(text: str) -> bool:
-    return PLACEHOLDER.search(text) is not None and PLACEHOLDER.search(_CODE_SPAN.sub(" ", text)) is not None
+    return HOLDER_START.search(text) is not None and PLACEHOLDER.search(text) is not None and PLACEHOLDER.search(_CODE_SPAN.sub(" ", text)) is not None
 
 
 def title_forms(title: str, brand: str) -> list[str]:
