@@ -8,10 +8,11 @@ SCRIPT, ERROR, FILLER = 1, 2, 4
 # Words of messages, by kind. A cue says nothing by itself: it is asked only of forms that recur across sources where content should be.
 SCRIPT_WORDS = frozenset("javascript java-script script scripts scripting skripte noscript browser loading wait moment".split())
 ERROR_WORDS = frozenset(
-    "error erreur fehler serverfehler err found cannot could unavailable gateway denied forbidden unauthorized unauthorised expired timeout timed requests moved deleted removed unpublished broken wrong exception traceback refused unreachable oops whoops hmm wandered nothing back again"
-    " gefunden verfügbar erreichbar verweigert abgelaufen introuvable indisponible n'existe refusé expiré encontrada encontrado disponible existe caducado indisponível negado gevonden beschikbaar geweigerd verlopen connection checking".split()
+    "error erreur fehler serverfehler err found cannot unavailable gateway denied forbidden unauthorized unauthorised expired timeout timed requests moved deleted removed unpublished broken wrong exception traceback refused unreachable oops whoops hmm wandered nothing"
+    " gefunden verfügbar erreichbar verweigert abgelaufen introuvable indisponible n'existe refusé expiré encontrada encontrado disponible existe caducado indisponível negado gevonden beschikbaar geweigerd verlopen checking".split()
 )
-FILLER_WORDS_OF = frozenset("¶ placeholder goes here blindtext platzhalter fülltext relleno remplissage todo tbd tba fixme xxx asdf qwer bla lorem sample dummy example text summary replace own soon construction new".split())
+STAND_INS = frozenset("¶ placeholder goes blindtext platzhalter fülltext relleno remplissage todo tbd tba fixme lorem summary replace construction".split())
+TITLE_STAND_INS = STAND_INS | frozenset("sample example dummy new soon".split())
 #: Titles that are a printed missing value.
 _MISSING = re.compile(r"(?:null|undefined|none|nan|nil|n/?a|\[object object\]|\(null\)|true|false|untitled(?: (?:document|page))?)")
 #: Words of the usual filler Latin.
@@ -65,12 +66,12 @@ def masked(line: str) -> str:
 
 
 def form(bare: str) -> str:
-    """A masked line without its quotations, paths, file names and code names; filler Latin as one sign."""
+    """A masked line without its quotations, paths, file names and code names; filler Latin and repeated words as one sign."""
     if '"' in bare or "'" in bare or "“" in bare or "«" in bare:
         bare = _QUOTED.sub('""', bare)
     if "/" in bare or "_" in bare or "0" in bare or "." in bare[:-1]:
         bare = " ".join([_word_form(w) if "/" in w or "_" in w or "0" in w or "." in w[:-1] else w for w in bare.split()])
-    return "¶" if is_filler_latin(bare) else bare
+    return "¶" if is_filler_latin(bare) or is_repetition(bare) else bare
 
 
 def _word_form(w: str) -> str:
@@ -88,10 +89,16 @@ def is_filler_latin(line: str) -> bool:
     return len(words) >= FILLER_WORDS and sum(w in FILLER_LATIN for w in words) >= FILLER_SHARE * len(words)
 
 
+def is_repetition(bare: str) -> bool:
+    """Three words and more, of letters, over and over: at most half of them distinct, and at most four."""
+    words = [w for x in bare.split() if (w := x.strip(_EDGES)).isalpha()]
+    return len(words) >= 3 and len(set(words)) <= min(4, len(words) // 2)
+
+
 def cue(bare: str) -> int:
     """SCRIPT, ERROR and FILLER bits of the cues in a form."""
     words = {w.strip(_EDGES) for w in bare.split()}
-    return SCRIPT * (not words.isdisjoint(SCRIPT_WORDS)) | ERROR * (not words.isdisjoint(ERROR_WORDS)) | FILLER * (not words.isdisjoint(FILLER_WORDS_OF))
+    return SCRIPT * (not words.isdisjoint(SCRIPT_WORDS)) | ERROR * (not words.isdisjoint(ERROR_WORDS)) | FILLER * (not words.isdisjoint(STAND_INS))
 
 
 def has_placeholder(text: str) -> bool:
@@ -114,7 +121,8 @@ def title_forms(title: str, brand: str) -> list[str]:
 
 def is_message_title(bare: str) -> bool:
     """A title's form that has a cue and no word but those of messages."""
-    return cue(bare) > 0 and all(w in TITLE_WORDS for w in re.findall(r"[^\W_]+|§", bare))
+    words = {w.strip(_EDGES) for w in bare.split()}
+    return (cue(bare) > 0 or not words.isdisjoint(TITLE_STAND_INS)) and all(w in TITLE_WORDS for w in re.findall(r"[^\W_]+|§", bare))
 
 
 def is_missing_value(title: str) -> bool:
