@@ -206,7 +206,7 @@ def near_copies(df: DataFrame, item_id: str, text: str, params: CopyParams = Cop
     members = cut_lineage(coded.select("id", "code").dropDuplicates(["id"]))
     parts = max(1, math.ceil(members.count() * 2 * p.bands / p.entries_per_part))
     blobs = coded.select("code", "text").mapInPandas(lambda it: _emit_cells(it, parts, p), "part int, codes binary, who binary, low binary, high binary")
-    found = cut_lineage(blobs.groupBy("part").applyInPandas(lambda pdf: _pairs_of_part(pdf, p), "kind int, a bigint, b bigint, home boolean"))
+    found = cut_lineage(blobs.repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: _pairs_of_part(pdf, p), "kind int, a bigint, b bigint, home boolean"))
     hot = found.where("kind = 1")
     x, y = hot.alias("x"), hot.alias("y")
     more = x.join(y, F.col("x.a") == F.col("y.a")).where((F.col("x.b") < F.col("y.b")) & (F.col("x.home") | F.col("y.home"))).select(F.col("x.b").alias("code_a"), F.col("y.b").alias("code_b"))

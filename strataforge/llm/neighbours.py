@@ -1,11 +1,10 @@
 """All-nearest-neighbours by shifted space-filling curves.
 
-Each of `curves` curves projects the unit vectors on a random orthonormal basis of `dims` directions, shifts them, and
-orders them along a Hilbert curve. The order is cut at quantiles into fine buckets of about `window` rows. A block of
-buckets, with the first bucket of the next block, goes to one task, which compares each bucket with itself and
-with the next one by a matrix product and keeps the `k` best of every row. The curves' answers are merged. Search runs on
-vectors rounded to 8 bits a value, packed with the ids into one record for each block and Arrow batch; similarities that come out are
-computed again from the stored vectors. Rows with equal vectors are searched once and share the answer.
+Each of `curves` curves projects the unit vectors on a random orthonormal basis of `dims` directions and orders them along a Hilbert curve of cells. Cells are cut at
+shifted quantiles of each projection, so a crowded topic is spread over as many cells as it has rows. The order is cut at quantiles of the key into fine buckets of about `window` rows. A
+block of buckets, with the first bucket of the next block, goes to one task, which compares each bucket with itself and with the next one by a matrix product
+and keeps the `k` best of every row. The curves' answers are merged. Search runs on vectors rounded to 8 bits a value, packed with the ids into one record for
+each block and Arrow batch; what comes out is ranked by similarities computed again from the stored vectors. Rows with equal vectors are searched once and share the answer.
 """
 
 from __future__ import annotations
@@ -31,7 +30,8 @@ class CurveParams:
     size: int = 64
     curves: int = 18
     dims: int = 10
-    bits: int = 5
+    bits: int = 6
+    fit_rows: int = 50_000  # rows, chosen by hash, from which the quantiles of the projections are taken; every row is indexed
     window: int = 2048
     block: int = 12  # fine buckets a task takes together
     least: float = -1.0  # neighbours less similar than this are not wanted
@@ -69,13 +69,28 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(unit: np.ndarray, ids: np.ndarray, curve: int, p: CurveParams) -> np.ndarray:
-    """Sort keys on one curve; the low bits spread rows of one cell, so no cell is too large for a bucket."""
-    rng = np.random.default_rng([p.seed, curve])
-    basis = np.linalg.qr(rng.normal(size=(p.size, p.size)))[0][:, : p.dims]
-    shift = rng.uniform(0, 1, p.dims).astype(np.float32)
-    z = (unit @ basis.astype(np.float32)) * np.float32(math.sqrt(p.size))
-    cells = np.clip((z + 3 + shift) * np.float32((1 << p.bits) / 7), 0, (1 << p.bits) - 1).astype(np.uint8)
+def projected(unit: np.ndarray, curve: int, p: CurveParams) -> np.ndarray:
+    basis = np.linalg.qr(np.random.default_rng([p.seed, curve]).normal(size=(p.size, p.size)))[0][:, : p.dims]
+    return unit @ basis.astype(np.float32)
+
+
+def cell_cuts(sample: np.ndarray, p: CurveParams) -> np.ndarray:
+    """(curves, dims, 2**bits - 1): cell borders at quantiles of the sample's projections, shifted by a random part of a cell on each axis of each curve."""
+    most = (1 << p.bits) - 1
+    out = np.zeros((p.curves, p.dims, most), np.float32)
+    if len(sample):
+        for c in range(p.curves):
+            z = projected(sample, c, p)
+            shift = np.random.default_rng([p.seed, c, 1]).uniform(0, 1, p.dims)
+            for d in range(p.dims):
+                out[c, d] = np.quantile(z[:, d], (np.arange(most) + shift[d]) / most)
+    return out
+
+
+def curve_keys(unit: np.ndarray, ids: np.ndarray, curve: int, cuts: np.ndarray, p: CurveParams) -> np.ndarray:
+    """Sort keys on one curve; the low bits spread rows that share a cell on every axis, so no cell is too large for a bucket."""
+    z = projected(unit, curve, p)
+    cells = np.stack([np.searchsorted(cuts[curve, d], z[:, d]) for d in range(p.dims)], axis=1).astype(np.uint8)
     spread = 62 - p.dims * p.bits
     noise = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - spread)) if spread > 0 else np.uint64(0)
     return ((hilbert_key(cells, p.bits) << np.uint64(spread)) | noise).astype(np.int64)
@@ -110,27 +125,41 @@ def nearest(df: DataFrame, item_id: str, vector: str, params: CurveParams = Curv
 
     Rows with a null, wrong-length, non-finite or all-zero vector neither search nor are found; re-delivered
     ids count once; ties go to the smaller id; a table with fewer rows gives fewer neighbours; other columns are ignored.
-    Equal vectors form a class: it is searched once, and the classes' first k + 1 members are handed out, so k neighbours
-    come out for every row however large a class is. Similarities here are of the rounded vectors (off by up to about 0.01; see
-    `similar_pairs` for exact ones).
+    Equal vectors form a class: it is searched once, and the classes' first members are handed out, so k neighbours
+    come out for every row however large a class is. Similarities and ranks are exact over the k + `slack` candidates found.
     """
     p = params
+    found = candidates(df, item_id, vector, replace(p, k=p.k + p.slack)).select("id", "neighbour")
+    exact = exact_similarity(found, usable(df, item_id, vector, p.size).dropDuplicates(["id"]), "id", "neighbour", p.broadcast_ids)
+    # Equal vectors differ by rounding alone; ten digits settle ties by id.
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 10)), "neighbour"))
+    return exact.withColumn("rank", place).where(F.col("rank") <= p.k).select("id", "rank", "neighbour", "similarity")
+
+
+def candidates(df: DataFrame, item_id: str, vector: str, params: CurveParams) -> DataFrame:
+    """(id, rank, neighbour, similarity) as in `nearest`, by the rounded vectors."""
+    p = params
     ready = usable(df, item_id, vector, p.size)
     # Two independent 64-bit hashes stand for a vector, so classes are found without moving vectors.
     rows = cut_lineage(ready.select("id", F.xxhash64("vec").alias("c1"), F.xxhash64(F.lit(7), "vec").alias("c2")).dropDuplicates(["id"]))
     classes = cut_lineage(_classes(rows, p.k))
     small = ready.mapInPandas(lambda it: _round_rows(it, p), "id bigint, q binary")
     reps = small.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    keyed = cut_lineage(reps.mapInPandas(lambda it: _with_keys(it, p), "id bigint, q binary, keys array<bigint>"))
-    n = keyed.count()
+    reps = cut_lineage(reps)
+    n = reps.count()
+    some = reps.where(F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(max(1, n // p.fit_rows))) == 0).limit(2 * p.fit_rows).select("q").toPandas()
+    cuts = df.sparkSession.sparkContext.broadcast(cell_cuts(_restored(b"".join(some["q"]), p.size), p))
+    keyed = cut_lineage(reps.mapInPandas(lambda it: _with_keys(it, cuts.value, p), "id bigint, q binary, keys array<bigint>"))
     fine = max(1, round(n / p.window))
     edges = np.zeros((p.curves, 0), np.int64)
     if fine > 1:
-        cuts = [i / fine for i in range(1, fine)]
-        per = keyed.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve").agg(F.percentile_approx("key", cuts, min(1_000_000, 20 * fine)).alias("e"))
+        shares = [i / fine for i in range(1, fine)]
+        per = keyed.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve").agg(F.percentile_approx("key", shares, min(1_000_000, 20 * fine)).alias("e"))
         edges = np.array([r["e"] for r in per.orderBy("curve").collect()], np.int64)  # curves x n / window values
     sent = df.sparkSession.sparkContext.broadcast(edges)
     blobs = keyed.mapInPandas(lambda it: _emit_blocks(it, sent.value, fine, p), "curve int, block int, fine binary, ids binary, q binary")
+    # About one block a partition, however many rows there are.
+    blobs = blobs.repartition(max(1, math.ceil(fine / p.block) * p.curves), "curve", "block")
     best = blobs.groupBy("curve", "block").applyInPandas(lambda pdf: _search(pdf, p), "id bigint, ids binary, sims binary")
     parts = max(1, math.ceil(n * p.curves / p.merge_rows))
     merged = best.repartition(parts, "id").mapInPandas(lambda it: _merge(it, p.k), "rep bigint, other bigint, sim double")
@@ -142,10 +171,10 @@ def _round_rows(it: Iterator[pd.DataFrame], p: CurveParams) -> Iterator[pd.DataF
         yield pd.DataFrame({"id": pdf["id"], "q": _rounded(_unit(pdf["vec"], p.size))})
 
 
-def _with_keys(it: Iterator[pd.DataFrame], p: CurveParams) -> Iterator[pd.DataFrame]:
+def _with_keys(it: Iterator[pd.DataFrame], cuts: np.ndarray, p: CurveParams) -> Iterator[pd.DataFrame]:
     for pdf in it:
         unit, ids = _restored(b"".join(pdf["q"]), p.size), pdf["id"].to_numpy()
-        keys = np.stack([curve_keys(unit, ids, c, p) for c in range(p.curves)], axis=1)
+        keys = np.stack([curve_keys(unit, ids, c, cuts, p) for c in range(p.curves)], axis=1)
         yield pd.DataFrame({"id": ids, "q": pdf["q"], "keys": list(keys)})
 
 
@@ -205,9 +234,10 @@ def best_rows(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.nd
     rows, cols = sims.shape
     group = 16
     high = np.float32(max(least, -1.5))
-    if high > 0.7:  # few values pass, whatever k is
+    if high > 0.7:
         a, b = np.nonzero(sims >= high)
-        return a, b, sims[a, b]
+        if len(a) <= 2 * k * rows:  # few pass, whatever k is; in a crowded topic the k best are kept as below
+            return a, b, sims[a, b]
     tops = sims[:, : cols // group * group].reshape(rows, -1, group).max(axis=2) if cols > 4 * k * group else sims
     if tops.shape[1] <= k:
         floor = np.full((rows, 1), high)
@@ -285,7 +315,7 @@ def similar_pairs(df: DataFrame, item_id: str, vector: str, params: CurveParams
     """
     p = params
     # Some more than k are searched: rounding may reorder near ties, which exact similarities settle.
-    near = nearest(df, item_id, vector, replace(p, k=p.k + p.slack))
+    near = candidates(df, item_id, vector, replace(p, k=p.k + p.slack))
     pairs = near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
     exact = exact_similarity(pairs, usable(df, item_id, vector, p.size).dropDuplicates(["id"]), "id_a", "id_b", p.broadcast_ids).where(F.col("similarity") >= p.least - 1e-9)
     ends = F.array(F.struct(F.col("id_a").alias("u"), F.col("id_b").alias("v")), F.struct(F.col("id_b").alias("u"), F.col("id_a").alias("v")))
