@@ -4,13 +4,14 @@ Every window of `window` words of an item passage, and of every document, is wal
 the current word is written out and the read position advances by a random bit that depends on (j, word). Windows at
 edit distance e get embeddings at Hamming distance O(e^2), whatever the edits are. Each repetition samples positions of
 the embedding into one 64-bit key; windows that share a key in any repetition are candidates, and every candidate is
-verified by word-level edit distance. Equal windows share every key, so at `max_edits=0` one repetition has recall 1.
+verified by word-level edit distance. Equal windows share every key, so at `max_edits=0` one repetition has recall 1; its sample is then
+all positions, which is an exact window key. Passages shorter than the window are searched in windows of `least_window` words with edits in proportion.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,10 @@ PAD = 0x7F4A7C159E3779B9
 
 @dataclass(frozen=True)
 class LeakParams:
-    """`repetitions` and `samples` set the recall at `max_edits` > 0; `broadcast_windows` bounds what each task is sent."""
+    """`repetitions` and `samples` set the recall at `max_edits` > 0 (README); `broadcast_windows` bounds what each task is sent."""
 
     window: int = 8
+    least_window: int = 0  # window of passages shorter than `window`; 0: they are not searched
     max_edits: int = 0
     repetitions: int = 1
     samples: int = 0  # 0: every position of the embedding
@@ -79,15 +81,19 @@ def edit_distance_at_most(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return int(prev[max(0, len(a) - most) : len(a) + most + 1].min()) <= most
 
 
-def _encode(texts: pd.Series, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def _encode(texts: pd.Series, hasher: Hasher, pads: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts laid end to end, each with `pads` signs after it that equal no word, and their lengths with these."""
     words = [split_words(t) for t in texts]
-    lengths = np.array([len(x) for x in words], np.int64)
-    flat = [w for ws in words for w in ws]
-    return hasher(flat) if flat else np.zeros(0, np.uint64), lengths
+    lengths = np.array([len(x) + pads for x in words], np.int64)
+    if not pads:
+        flat = [w for ws in words for w in ws]
+        return hasher(flat) if flat else np.zeros(0, np.uint64), lengths
+    end = np.full(pads, PAD, np.uint64)
+    return np.concatenate([x for ws in words for x in (hasher(ws), end)]) if words else np.zeros(0, np.uint64), lengths
 
 
-def _item_windows(items: DataFrame, item_id: str, passages: list[str], p: LeakParams) -> DataFrame:
-    """item_id, key, words: one row for each window, repetition and passage column."""
+def _item_windows(items: DataFrame, item_id: str, passages: list[str], p: LeakParams, shorter_than: int = 0) -> DataFrame:
+    """item_id, key, words: one row for each window, repetition and passage column; of passages `shorter_than` so many words alone, where that is given."""
     long = items.select(F.col(item_id).alias("item_id"), F.explode(F.array(*[F.col(c).cast("string") for c in passages])).alias("passage"))
 
     def make(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +101,9 @@ def _item_windows(items: DataFrame, item_id: str, passages: list[str], p: LeakPa
         for pdf in it:
             h, lengths = _encode(pdf["passage"], hasher)
             starts, owner = _starts(lengths, p.window)
+            if shorter_than:
+                short = lengths[owner] < shorter_than
+                starts, owner = starts[short], owner[short]
             span = [h[s : s + p.window].astype(np.int64) for s in starts]
             for rep in range(p.repetitions):
                 yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[owner], "key": window_keys(h, starts, p, rep).astype(np.int64), "words": pd.Series(span, dtype=object)})
@@ -105,14 +114,22 @@ def _item_windows(items: DataFrame, item_id: str, passages: list[str], p: LeakPa
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passages: list[str], params: LeakParams = LeakParams()) -> DataFrame:
     """(doc_id, item_id) of every document holding, within `max_edits`, a window of an item's passage; each pair once.
 
-    A null or empty text, or one shorter than the window, matches nothing; repeated rows yield one pair; a pair is
+    A null or empty text, or one shorter than the window less the edits, matches nothing; repeated rows yield one pair; a pair is
     reported for every item that shares the passage. Columns other than those named are ignored. The item windows are sent to the tasks
     while they are at most `broadcast_windows`; beyond that both sides' keys are joined by shuffle instead.
     """
     p = params
+    found = _find(docs, items, doc_id, text, item_id, passages, p, 0)
+    if 0 < p.least_window < p.window:
+        short = replace(p, window=p.least_window, max_edits=p.max_edits * p.least_window // p.window)
+        found = found.unionByName(_find(docs, items, doc_id, text, item_id, passages, short, p.window))
+    return found.distinct()
+
+
+def _find(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passages: list[str], p: LeakParams, shorter_than: int) -> DataFrame:
     kind, item_kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    windows = _item_windows(items, item_id, passages, p)
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") >= 2 * p.window - 1)
+    windows = _item_windows(items, item_id, passages, p, shorter_than)
+    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") >= 2 * (p.window - p.max_edits) - 1)
     sample = windows.limit(p.broadcast_windows + 1).toPandas()
     if len(sample) <= p.broadcast_windows:
         order = np.argsort(sample["key"].to_numpy(), kind="stable")
@@ -131,11 +148,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
         found = corpus.mapInPandas(scan, f"doc_id {kind}, item_id {item_kind}")
     else:
         found = _join_keys(corpus, windows, kind, p)
-    return found.distinct()
+    return found
 
 
 def _scan_batch(pdf: pd.DataFrame, hasher: Hasher, keys: np.ndarray, ids: np.ndarray, grams: np.ndarray, p: LeakParams) -> pd.DataFrame:
-    h, lengths = _encode(pdf["text"], hasher)
+    h, lengths = _encode(pdf["text"], hasher, p.max_edits)
     starts, owner = _starts(lengths, p.window)
     ends = np.cumsum(lengths)
     hits: set[tuple[int, int]] = set()
@@ -161,7 +178,7 @@ def _join_keys(corpus: DataFrame, windows: DataFrame, kind: str, p: LeakParams)
         for pdf in it:
             for lo in range(0, len(pdf), 128):
                 part = pdf.iloc[lo : lo + 128]
-                h, lengths = _encode(part["text"], hasher)
+                h, lengths = _encode(part["text"], hasher, p.max_edits)
                 starts, owner = _starts(lengths, p.window)
                 ends = np.cumsum(lengths)[owner] if len(owner) else np.zeros(0, np.int64)
                 spans = [h[s : min(s + p.window + p.max_edits, e)].astype(np.int64) for s, e in zip(starts, ends, strict=True)]

@@ -145,10 +145,10 @@ def candidates(df: DataFrame, item_id: str, vector: str, params: CurveParams) ->
     classes = cut_lineage(_classes(rows, p.k))
     small = ready.mapInPandas(lambda it: _round_rows(it, p), "id bigint, q binary")
     reps = small.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = cut_lineage(reps)
-    n = reps.count()
-    some = reps.where(F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(max(1, n // p.fit_rows))) == 0).limit(2 * p.fit_rows).select("q").toPandas()
-    cuts = df.sparkSession.sparkContext.broadcast(cell_cuts(_restored(b"".join(some["q"]), p.size), p))
+    n = classes.count()
+    drawn = F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(max(1, n // p.fit_rows))) == 0
+    some = ready.where(drawn).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("vec").limit(2 * p.fit_rows).toPandas()
+    cuts = df.sparkSession.sparkContext.broadcast(cell_cuts(_unit(some["vec"], p.size), p))
     keyed = cut_lineage(reps.mapInPandas(lambda it: _with_keys(it, cuts.value, p), "id bigint, q binary, keys array<bigint>"))
     fine = max(1, round(n / p.window))
     edges = np.zeros((p.curves, 0), np.int64)

@@ -83,8 +83,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", ["prompt", "answer"])
 
 
-#: Windows of 16 words within 2 word edits: passages that were reworded in places.
-NEAR = leakage.LeakParams(window=16, max_edits=2, repetitions=12, samples=10)
+#: Windows of 16 words within 2 word edits, 8 within one for shorter passages: passages that were reworded in places.
+NEAR = leakage.LeakParams(window=16, least_window=8, max_edits=2, repetitions=12, samples=6)
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:

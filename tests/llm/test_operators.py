@@ -419,6 +419,35 @@ def test_leaks_with_edits(spark):
     assert rows <= {(i, i) for i in range(40)} and len(rows) >= 36
 
 
+def edited(words, edits, rng):
+    out = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(out))
+        out[i : i + rng.randrange(2)] = [rng.getrandbits(60)] * rng.randrange(2) or [rng.getrandbits(60)]
+    return out
+
+
+@pytest.mark.parametrize(("window", "edits"), [(16, 2), (8, 1)])
+def test_recall_of_sampled_keys(window, edits):
+    rng = random.Random(9)
+    p = leakage.replace(queries.NEAR, window=window, max_edits=edits)
+    hits = 0
+    for _ in range(500):
+        a = [rng.getrandbits(60) for _ in range(window)]
+        doc = np.array([rng.getrandbits(60) for _ in range(9)] + edited(a, edits, rng) + [0] * edits, np.uint64)
+        a, starts = np.array(a, np.uint64), np.arange(len(doc) - window + 1)
+        keys = [set(np.nonzero(leakage.window_keys(doc, starts, p, r) == leakage.window_keys(a, np.array([0]), p, r)[0])[0]) for r in range(p.repetitions)]
+        hits += any(leakage.edit_distance_at_most(a.view(np.int64), doc[i : i + window + edits].view(np.int64), edits) for i in set().union(*keys))
+    assert hits >= 450
+
+
+def test_leaks_of_short_passages_and_at_the_end(spark):
+    items = spark.createDataFrame([(1, "nine lamplighters of Sunderay polished twenty old compasses"), (2, " ".join(f"w{i}" for i in range(16)))], "n bigint, p string")
+    docs = [(1, "and so the nine lamplighters of Sunderay cleaned twenty old compasses"), (2, "then " + " ".join(f"w{i}" for i in range(16) if i not in (5, 9))), (3, "nine lamplighters of nowhere")]
+    got = leakage.find_leaks(spark.createDataFrame(docs, "k bigint, t string"), items, "k", "t", "n", ["p"], leakage.replace(queries.NEAR, repetitions=40))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2)]
+
+
 def test_edit_distance():
     d = lambda a, b, k: leakage.edit_distance_at_most(np.array(a), np.array(b), k)
     assert d([1, 2, 3], [1, 2, 3, 9], 0) and not d([1, 2, 3], [1, 3, 3, 9], 0) and d([1, 2, 3, 4], [1, 3, 4, 9, 9], 1) and not d([1, 2, 3, 4], [9, 9, 3, 4], 1)
