@@ -117,24 +117,32 @@ def stems(text: Column) -> Column:
     return run(text)
 
 
+def phrases(query: Column) -> Column:
+    """The phrases of each query, in Arrow batches; none of a null one."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda q: parse_query(q) if q else [])
+
+    return run(query)
+
+
+def match_expressions(query: Column) -> Column:
+    """The match expression of each query, in Arrow batches."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(match_expression)
+
+    return run(query)
+
+
+_PHRASE = re.compile(r'"([^"]*)(?:"|$)|([^" ]+)')
+
+
 def parse_query(q: str) -> list[str]:
-    """Phrases of a search: quotes toggle, only blanks separate. Several give the whole as one phrase first, then each one."""
-    parts: list[str] = []
-    now, quoted = "", False
-    for c in q:
-        if c == '"':
-            if quoted and now:
-                parts.append(now)
-                now = ""
-            quoted = not quoted
-        elif c == " " and not quoted:
-            if now:
-                parts.append(now)
-            now = ""
-        else:
-            now += c
-    if now:
-        parts.append(now)
+    """Phrases of a search: what stands between quotes, or else between blanks and quotes; a last quote left open runs to the end. Several give the whole as one phrase first, then each one."""
+    parts = [x for pair in _PHRASE.findall(q) if (x := pair[0] or pair[1])]
     return parts if len(parts) < 2 else [" ".join(parts), *parts]
 
 

@@ -8,23 +8,153 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 # Selectors of what is not content.
-REMOVED = (
-    "aside|nav|footer|script|style|noscript|svg|link|meta|iframe|header|button|input|textarea|select|.ads|.advertisement|.banner|.cookie-banner|.cookie-consent|.hidden|.hide|.mobile-menu|.mobile-nav|.modal|"
-    ".nav-bar|.overlay|.popup|.promo|.mw-editsection|.search-bar|.search-form|.side-bar|.sidebar|.social-share|.sticky|.table-of-contents|.toc|#ads|#banner|#cookieBanner|#mobile-menu|#mobile-nav|#modal|#nav|"
-    "#overlay|#popup|#sidebar|#socialMediaBox|#stickyHeader|#ad-container|.ad-container|.login-form|.signup-form|.tooltip|.dropdown-menu|.breadcrumb|.pagination|[role=\"banner\"]|[role=\"complementary\"]|"
-    "[role=\"dialog\"]|[role=\"alertdialog\"]|[role=\"navigation\"]|[role=\"search\"]|[role=\"region\"][aria-label*=\"skip\" i]|[aria-modal=\"true\"]|.noprint|a.sr-only|a.skip-link|a.skip-nav|"
-    "a.screen-reader-only|a.visually-hidden|[aria-label=\"Breadcrumb\" i]|[itemtype*=\"BreadcrumbList\"]|#carbonads|.carbonads|.carbon-wrap|.carbon-text|.carbon-img|.carbon-poweredby|"
-    "a[href*=\"srv.carbonads.net\"]|.bsa-promotion|.bsa-cpc|[id^=\"bsap_\"]|[id^=\"bsa-zone_\"]|img[src*=\"buysellads.com\"]|img[src*=\"buysellads.net\"]|.ethical-rtd|.ethical-fixedfooter|"
-    ".ethical-bottom-right|[data-ea-publisher]|.keep-us-sustainable|img[src*=\"ethicalads.io\"]|.adsbygoogle|ins.adsbygoogle|[id^=\"google_ads_iframe\"]|img[src*=\"googlesyndication.com\"]|"
-    "img[src*=\"doubleclick.net\"]|.OUTBRAIN|[data-widget-id^=\"OB_\"]|.taboola|[id^=\"taboola-\"]|img[src*=\"bidr.io\"]|img[src*=\"adnxs.com\"]|img[src*=\"adsrvr.org\"]|img[src*=\"analytics.yahoo.com\"]|"
-    ".DocSearch|.DocSearch-Button|.DocSearch-Container|.DocSearch-Modal|#docsearch|[id^=\"docsearch-\"]|.algolia-autocomplete|.algolia-docsearch-suggestion|.md-search-result|.md-search__output|#searchbox|"
-    "#search-results|.wy-side-search|#st-search-input|#st-results-container|.st-default-search-input"
-).split("|")
+REMOVED = [
+    "aside",
+    "nav",
+    "footer",
+    "script",
+    "style",
+    "noscript",
+    "svg",
+    "link",
+    "meta",
+    "iframe",
+    "header",
+    "button",
+    "input",
+    "textarea",
+    "select",
+    ".ads",
+    ".advertisement",
+    ".banner",
+    ".cookie-banner",
+    ".cookie-consent",
+    ".hidden",
+    ".hide",
+    ".mobile-menu",
+    ".mobile-nav",
+    ".modal",
+    ".nav-bar",
+    ".overlay",
+    ".popup",
+    ".promo",
+    ".mw-editsection",
+    ".search-bar",
+    ".search-form",
+    ".side-bar",
+    ".sidebar",
+    ".social-share",
+    ".sticky",
+    ".table-of-contents",
+    ".toc",
+    "#ads",
+    "#banner",
+    "#cookieBanner",
+    "#mobile-menu",
+    "#mobile-nav",
+    "#modal",
+    "#nav",
+    "#overlay",
+    "#popup",
+    "#sidebar",
+    "#socialMediaBox",
+    "#stickyHeader",
+    "#ad-container",
+    ".ad-container",
+    ".login-form",
+    ".signup-form",
+    ".tooltip",
+    ".dropdown-menu",
+    ".breadcrumb",
+    ".pagination",
+    '[role="banner"]',
+    '[role="complementary"]',
+    '[role="dialog"]',
+    '[role="alertdialog"]',
+    '[role="navigation"]',
+    '[role="search"]',
+    '[role="region"][aria-label*="skip" i]',
+    '[aria-modal="true"]',
+    ".noprint",
+    "a.sr-only",
+    "a.skip-link",
+    "a.skip-nav",
+    "a.screen-reader-only",
+    "a.visually-hidden",
+    '[aria-label="Breadcrumb" i]',
+    '[itemtype*="BreadcrumbList"]',
+    "#carbonads",
+    ".carbonads",
+    ".carbon-wrap",
+    ".carbon-text",
+    ".carbon-img",
+    ".carbon-poweredby",
+    'a[href*="srv.carbonads.net"]',
+    ".bsa-promotion",
+    ".bsa-cpc",
+    '[id^="bsap_"]',
+    '[id^="bsa-zone_"]',
+    'img[src*="buysellads.com"]',
+    'img[src*="buysellads.net"]',
+    ".ethical-rtd",
+    ".ethical-fixedfooter",
+    ".ethical-bottom-right",
+    "[data-ea-publisher]",
+    ".keep-us-sustainable",
+    'img[src*="ethicalads.io"]',
+    ".adsbygoogle",
+    "ins.adsbygoogle",
+    '[id^="google_ads_iframe"]',
+    'img[src*="googlesyndication.com"]',
+    'img[src*="doubleclick.net"]',
+    ".OUTBRAIN",
+    '[data-widget-id^="OB_"]',
+    ".taboola",
+    '[id^="taboola-"]',
+    'img[src*="bidr.io"]',
+    'img[src*="adnxs.com"]',
+    'img[src*="adsrvr.org"]',
+    'img[src*="analytics.yahoo.com"]',
+    ".DocSearch",
+    ".DocSearch-Button",
+    ".DocSearch-Container",
+    ".DocSearch-Modal",
+    "#docsearch",
+    '[id^="docsearch-"]',
+    ".algolia-autocomplete",
+    ".algolia-docsearch-suggestion",
+    ".md-search-result",
+    ".md-search__output",
+    "#searchbox",
+    "#search-results",
+    ".wy-side-search",
+    "#st-search-input",
+    "#st-results-container",
+    ".st-default-search-input",
+]
 # Hosts of tracking images.
-TRACKERS = (
-    "adroll.com doubleclick.net google-analytics.com googletagmanager.com analytics.twitter.com twitter.com/1/i/adsct t.co/1/i/adsct bat.bing.com pixel.rubiconproject.com casalemedia.com tremorhub.com "
-    "rlcdn.com facebook.com/tr linkedin.com/px quantserve.com scorecardresearch.com hotjar.com mouseflow.com crazyegg.com clarity.ms"
-).split()
+TRACKERS = [
+    "adroll.com",
+    "doubleclick.net",
+    "google-analytics.com",
+    "googletagmanager.com",
+    "analytics.twitter.com",
+    "twitter.com/1/i/adsct",
+    "t.co/1/i/adsct",
+    "bat.bing.com",
+    "pixel.rubiconproject.com",
+    "casalemedia.com",
+    "tremorhub.com",
+    "rlcdn.com",
+    "facebook.com/tr",
+    "linkedin.com/px",
+    "quantserve.com",
+    "scorecardresearch.com",
+    "hotjar.com",
+    "mouseflow.com",
+    "crazyegg.com",
+    "clarity.ms",
+]
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table ul details summary".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}

@@ -144,25 +144,149 @@ def admitted(url: Column, includes: list[str] | None = None, excludes: list[str]
 
 
 # Media types by file name extension.
-MIME_EXTENSIONS = {
-    "text/x-typescript": "ts mts cts", "text/x-tsx": "tsx", "text/javascript": "js cjs mjs", "text/x-jsx": "jsx", "text/x-python": "py pyw pyi", "text/x-cython": "pyx pxd",
-    "text/x-go": "go", "text/x-rust": "rs", "text/x-csrc": "c", "text/x-chdr": "h", "text/x-c++src": "cpp cxx cc", "text/x-c++hdr": "hpp hxx", "text/x-zig": "zig", "text/x-nim": "nim",
-    "text/x-v": "v", "text/x-crystal": "cr", "text/x-java": "java", "text/x-kotlin": "kt kts", "text/x-scala": "scala", "text/x-groovy": "groovy", "text/x-gradle": "gradle",
-    "text/x-swift": "swift", "text/x-dart": "dart", "text/x-ruby": "rb rake", "text/x-php": "php", "text/x-lua": "lua", "text/x-perl": "pl pm", "text/x-r": "r", "text/x-haskell": "hs lhs",
-    "text/x-elm": "elm", "text/x-erlang": "erl", "text/x-elixir": "ex exs", "text/x-clojure": "clj cljs cljc", "text/x-julia": "jl", "text/x-csharp": "cs", "text/x-solidity": "sol",
-    "text/x-move": "move", "text/x-cairo": "cairo", "text/x-vue": "vue", "text/x-svelte": "svelte", "text/x-astro": "astro", "text/x-shellscript": "sh bash zsh fish", "text/x-powershell": "ps1",
-    "text/markdown": "md markdown mkd mkdn mkdown mdown mdwn ronn", "text/mdx": "mdx", "text/x-gfm": "gfm", "text/x-rst": "rst", "text/x-asciidoc": "adoc asciidoc", "text/x-textile": "textile",
-    "text/x-org": "org", "text/x-pod": "pod", "text/x-rdoc": "rdoc", "text/x-wiki": "wiki", "text/x-rmarkdown": "rmd", "text/x-toml": "toml", "text/x-ini": "ini cfg", "text/x-conf": "conf",
-    "text/x-properties": "properties", "text/x-dotenv": "env", "text/x-dockerfile": "dockerfile containerfile", "text/x-makefile": "makefile", "text/x-cmake": "cmake", "text/x-bazel": "bazel bzl",
-    "text/x-buck": "buck", "text/x-terraform": "tf tfvars", "text/x-hcl": "hcl", "text/x-sql": "sql", "text/x-graphql": "graphql gql", "text/x-proto": "proto", "text/x-prisma": "prisma",
-    "text/x-thrift": "thrift", "text/x-avro": "avro", "text/x-tex": "tex latex", "application/msword": "doc", "application/vnd.ms-excel": "xls", "application/vnd.ms-powerpoint": "ppt",
-    "application/vnd.oasis.opendocument.text": "odt", "application/vnd.oasis.opendocument.spreadsheet": "ods", "application/vnd.oasis.opendocument.presentation": "odp", "application/rtf": "rtf",
-    "application/epub+zip": "epub", "application/x-fictionbook+xml": "fb2", "text/html": "html htm", "application/xhtml+xml": "xhtml", "application/json": "json", "text/plain": "txt text log",
-    "text/css": "css", "text/csv": "csv", "text/yaml": "yaml yml", "application/xml": "xml", "application/pdf": "pdf", "application/zip": "zip", "application/gzip": "gz tgz", "application/x-tar": "tar",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
-    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx", "application/x-ipynb+json": "ipynb", "image/png": "png", "image/jpeg": "jpg jpeg", "image/svg+xml": "svg",
-}
-MIME = {e: m for m, es in MIME_EXTENSIONS.items() for e in es.split()}
+MIME = {
+    "ts": "text/x-typescript",
+    "mts": "text/x-typescript",
+    "cts": "text/x-typescript",
+    "tsx": "text/x-tsx",
+    "js": "text/javascript",
+    "cjs": "text/javascript",
+    "mjs": "text/javascript",
+    "jsx": "text/x-jsx",
+    "py": "text/x-python",
+    "pyw": "text/x-python",
+    "pyi": "text/x-python",
+    "pyx": "text/x-cython",
+    "pxd": "text/x-cython",
+    "go": "text/x-go",
+    "rs": "text/x-rust",
+    "c": "text/x-csrc",
+    "h": "text/x-chdr",
+    "cpp": "text/x-c++src",
+    "cxx": "text/x-c++src",
+    "cc": "text/x-c++src",
+    "hpp": "text/x-c++hdr",
+    "hxx": "text/x-c++hdr",
+    "zig": "text/x-zig",
+    "nim": "text/x-nim",
+    "v": "text/x-v",
+    "cr": "text/x-crystal",
+    "java": "text/x-java",
+    "kt": "text/x-kotlin",
+    "kts": "text/x-kotlin",
+    "scala": "text/x-scala",
+    "groovy": "text/x-groovy",
+    "gradle": "text/x-gradle",
+    "swift": "text/x-swift",
+    "dart": "text/x-dart",
+    "rb": "text/x-ruby",
+    "rake": "text/x-ruby",
+    "php": "text/x-php",
+    "lua": "text/x-lua",
+    "pl": "text/x-perl",
+    "pm": "text/x-perl",
+    "r": "text/x-r",
+    "hs": "text/x-haskell",
+    "lhs": "text/x-haskell",
+    "elm": "text/x-elm",
+    "erl": "text/x-erlang",
+    "ex": "text/x-elixir",
+    "exs": "text/x-elixir",
+    "clj": "text/x-clojure",
+    "cljs": "text/x-clojure",
+    "cljc": "text/x-clojure",
+    "jl": "text/x-julia",
+    "cs": "text/x-csharp",
+    "sol": "text/x-solidity",
+    "move": "text/x-move",
+    "cairo": "text/x-cairo",
+    "vue": "text/x-vue",
+    "svelte": "text/x-svelte",
+    "astro": "text/x-astro",
+    "sh": "text/x-shellscript",
+    "bash": "text/x-shellscript",
+    "zsh": "text/x-shellscript",
+    "fish": "text/x-shellscript",
+    "ps1": "text/x-powershell",
+    "md": "text/markdown",
+    "markdown": "text/markdown",
+    "mkd": "text/markdown",
+    "mkdn": "text/markdown",
+    "mkdown": "text/markdown",
+    "mdown": "text/markdown",
+    "mdwn": "text/markdown",
+    "ronn": "text/markdown",
+    "mdx": "text/mdx",
+    "gfm": "text/x-gfm",
+    "rst": "text/x-rst",
+    "adoc": "text/x-asciidoc",
+    "asciidoc": "text/x-asciidoc",
+    "textile": "text/x-textile",
+    "org": "text/x-org",
+    "pod": "text/x-pod",
+    "rdoc": "text/x-rdoc",
+    "wiki": "text/x-wiki",
+    "rmd": "text/x-rmarkdown",
+    "toml": "text/x-toml",
+    "ini": "text/x-ini",
+    "cfg": "text/x-ini",
+    "conf": "text/x-conf",
+    "properties": "text/x-properties",
+    "env": "text/x-dotenv",
+    "dockerfile": "text/x-dockerfile",
+    "containerfile": "text/x-dockerfile",
+    "makefile": "text/x-makefile",
+    "cmake": "text/x-cmake",
+    "bazel": "text/x-bazel",
+    "bzl": "text/x-bazel",
+    "buck": "text/x-buck",
+    "tf": "text/x-terraform",
+    "tfvars": "text/x-terraform",
+    "hcl": "text/x-hcl",
+    "sql": "text/x-sql",
+    "graphql": "text/x-graphql",
+    "gql": "text/x-graphql",
+    "proto": "text/x-proto",
+    "prisma": "text/x-prisma",
+    "thrift": "text/x-thrift",
+    "avro": "text/x-avro",
+    "tex": "text/x-tex",
+    "latex": "text/x-tex",
+    "doc": "application/msword",
+    "xls": "application/vnd.ms-excel",
+    "ppt": "application/vnd.ms-powerpoint",
+    "odt": "application/vnd.oasis.opendocument.text",
+    "ods": "application/vnd.oasis.opendocument.spreadsheet",
+    "odp": "application/vnd.oasis.opendocument.presentation",
+    "rtf": "application/rtf",
+    "epub": "application/epub+zip",
+    "fb2": "application/x-fictionbook+xml",
+    "html": "text/html",
+    "htm": "text/html",
+    "xhtml": "application/xhtml+xml",
+    "json": "application/json",
+    "txt": "text/plain",
+    "text": "text/plain",
+    "log": "text/plain",
+    "css": "text/css",
+    "csv": "text/csv",
+    "yaml": "text/yaml",
+    "yml": "text/yaml",
+    "xml": "application/xml",
+    "pdf": "application/pdf",
+    "zip": "application/zip",
+    "gz": "application/gzip",
+    "tgz": "application/gzip",
+    "tar": "application/x-tar",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "ipynb": "application/x-ipynb+json",
+    "png": "image/png",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "svg": "image/svg+xml",
+}
 
 
 def extension(p: Column) -> Column:

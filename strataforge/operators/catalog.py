@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +49,31 @@ def canonical_unversioned(versions: DataFrame, documents: DataFrame) -> DataFram
     return u.groupBy("library_id").agg(F.max_by("version_id", F.struct(F.coalesce("documents", F.lit(0)), -F.col("version_id"))).alias("version_id"))
 
 
-def did_you_mean(asked: DataFrame, names: DataFrame, k: int = 3, most_share: float = 0.7) -> DataFrame:
-    """(asked, place, name): the k known names nearest by edit distance, at most `most_share` of the longer name away. `names` is a small dimension table."""
+def _blocks(rows: DataFrame, size: int) -> Iterator[list[str]]:
+    found: list[str] = []
+    for r in rows.toLocalIterator():
+        found.append(r[0])
+        if len(found) == size:
+            yield found
+            found = []
+    if found:
+        yield found
+
+
+def did_you_mean(asked: DataFrame, names: DataFrame, k: int = 3, most_share: float = 0.7, broadcast_names: int = 100_000) -> DataFrame:
+    """(asked, place, name): the k known names nearest by edit distance, at most `most_share` of the longer name away.
+
+    `names` is a dimension table, sent to every task while it has at most `broadcast_names` rows; a longer one is met by the distinct questions in blocks of that size.
+    """
     from pyspark.sql import Window
 
     far = F.levenshtein("asked", "name")
-    pairs = asked.select("asked").distinct().join(F.broadcast(names.select("name").distinct()), far <= F.greatest(F.length("asked"), F.length("name")) * most_share)
+    near = far <= F.greatest(F.length("asked"), F.length("name")) * most_share
+    left, right = asked.select("asked").where("asked is not null").distinct(), names.select("name").where("name is not null").distinct()
+    if right.limit(broadcast_names + 1).count() <= broadcast_names:
+        pairs = left.join(F.broadcast(right), near)
+    else:
+        blocks = [left.sparkSession.createDataFrame([(x,) for x in b], "asked string") for b in _blocks(left, broadcast_names)]
+        pairs = reduce(DataFrame.unionByName, [right.join(F.broadcast(b), near) for b in blocks]) if blocks else left.join(right, F.lit(False))
     w = Window.partitionBy("asked").orderBy(far, "name")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("asked", "place", "name")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fulltext import match_expression, stems, tokens
+from ..functions import fulltext
+from ..functions.fulltext import stems, tokens
 from ..operators import expand, search
 from ..session import cut_lineage, table
 from . import tables
@@ -103,8 +104,28 @@ def bm25_porter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def match_expressions(spark: SparkSession, d: str) -> DataFrame:
-    run = F.udf(match_expression, "string")
-    return tables.hits(spark, d).select("query_text").where("query_text is not null").distinct().select("query_text", run("query_text").alias("expression"))
+    return tables.hits(spark, d).select("query_text").where("query_text is not null").distinct().select("query_text", fulltext.match_expressions(F.col("query_text")).alias("expression"))
+
+
+@query(f"""with {DOCS_SQL}, parts as (select hit_id as query_id, list_filter(list_transform(regexp_extract_all(query_text, '"[^"]*"?|[^" ]+'), lambda x: replace(x, '"', '')), lambda x: x <> '') as parts from {HITS_SQL} where hit_id % 100 = 0),
+whole as (select query_id, unnest(case when len(parts) > 1 then list_prepend(array_to_string(parts, ' '), parts) else parts end) as part from parts),
+q as (select distinct query_id, {TOK.format('part')} as ws from whole where len({TOK.format('part')}) > 0),
+tf as (select id, len(ct) + len(tt) + len(ut) + len(pt) as len, ws, {" + ".join(f"{w} * len(list_filter(range(1, len({c}) - len(ws) + 2), lambda i: {c}[i:i + len(ws) - 1] = ws))" for c, w in (("ct", "10.0::double"), ("tt", "1"), ("ut", "5"), ("pt", "1")))} as f from docs, (select distinct ws from q)),
+st as (select count(*) as n, avg(len(ct) + len(tt) + len(ut) + len(pt)) as al from docs), df as (select ws, count(*) as df from tf where f > 0 group by ws),
+bm as (select query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / al))), 9) as score from q join tf using (ws) join df using (ws), st where f > 0 group by all)
+select query_id, id, score from bm qualify row_number() over (partition by query_id order by score desc, id) <= 20""")
+def bm25_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Queries as match expressions: the whole query as one phrase, or any of its parts; every phrase is ranked like a term."""
+    q = tables.hits(spark, d).where("hit_id % 100 = 0").select(F.col("hit_id").alias("query_id"), F.explode(fulltext.phrases(F.col("query_text"))).alias("part"))
+    q = cut_lineage(q.select("query_id", tokens(F.col("part")).alias("ws")).where(F.size("ws") > 0).distinct().withColumn("term", F.array_join("ws", " ")))
+    words = q.select("term", "ws").distinct().select("term", F.size("ws").alias("n"), F.posexplode("ws").alias("i", "word"))
+    _, sizes = indexed(spark, d, None)
+    c = table(spark, d, "chunks").select("id", "content", F.array_join("path", " ").alias("path"))
+    p = table(spark, d, "doc_pages").select(F.col("id").alias("page_id"), "title", "url")
+    pick = lambda fields: {f: search.WEIGHTS[f] for f in fields}
+    own = search.phrase_occurrences(c, "id", pick(CHUNK_FIELDS), words)
+    given = search.phrase_occurrences(p, "page_id", pick(PAGE_FIELDS), words).join(tables.chunks(spark, d, "page_id").where("page_id is not null"), "page_id").select("id", "term", "w")
+    return search.bm25(own.unionByName(given), sizes, q.select("query_id", "term"), "id", 20)
 
 
 @query(f"with {KNN_SQL} select query_id, id, distance from nn qualify row_number() over (partition by query_id order by distance, id) <= 20")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -40,15 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so a lost executor costs one re-read.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, local mode) is one made.
+    The folder is the session's `spark.checkpoint.dir`; only where that is unset and the master is local (tests) is one made. On a cluster it must be set,
+    since a folder of one machine would be lost to the others.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.mkdtemp(prefix="strataforge-"), "ckpt")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), sc.master))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.mkdtemp(prefix="strataforge-"), "ckpt")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import socket
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from urllib.parse import unquote, urlsplit
@@ -11,6 +13,14 @@ from urllib.parse import unquote, urlsplit
 from ..functions.urls import glob_regex
 
 
+def resolved(host: str) -> tuple[str, ...]:
+    """All addresses of a host; none if its name is unknown."""
+    try:
+        return tuple(sorted({str(x[4][0]).split("%")[0] for x in socket.getaddrinfo(host, None)}))
+    except OSError:
+        return ()
+
+
 class AccessDenied(PermissionError):
     """The policy does not let this be read."""
 
@@ -46,5 +56,11 @@ class AccessPolicy:
         fine = lambda a: listed(a) or (not self.allowlist and (self.private or ipaddress.ip_address(a).is_global))
         if host == "localhost" and not self.private:
             raise AccessDenied(url)
-        if (known and not all(map(fine, known))) or (not known and self.allowlist):
+        # A name that resolves to nothing is no reason to let it through: what it names later was never checked.
+        if (known and not all(map(fine, known))) or not known:
             raise AccessDenied(url)
+
+    def admit(self, url: str, resolve: Callable[[str], tuple[str, ...]] = resolved) -> None:
+        """`check` with the addresses its host has now."""
+        s = urlsplit(url)
+        self.check(url, resolve(s.hostname) if s.scheme != "file" and s.hostname else ())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import urls
-from .access import AccessDenied, AccessPolicy
+from .access import AccessDenied, AccessPolicy, resolved
 
 #: Answers that are worth another try.
 RETRIED = frozenset({408, 429, 500, 502, 503, 504, 525})
@@ -31,19 +31,33 @@ class FetchOptions:
     policy: AccessPolicy = AccessPolicy()
 
 
-def fetch(url: str, etag: str | None = None, options: FetchOptions = FetchOptions(), sleep: Callable[[float], None] = time.sleep) -> tuple:
-    """A row of SCHEMA: 200 with content, 304 for an unchanged tag, 404; any other failure has its error and, if there was one, its status."""
+class _Checked(urllib.request.HTTPRedirectHandler):
+    """Follows a redirect only where the policy admits its target."""
+
+    def __init__(self, policy: AccessPolicy, resolve: Callable[[str], tuple[str, ...]]):
+        self.policy, self.resolve = policy, resolve
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        self.policy.admit(newurl, self.resolve)
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def fetch(url: str, etag: str | None = None, options: FetchOptions = FetchOptions(), sleep: Callable[[float], None] = time.sleep, resolve: Callable[[str], tuple[str, ...]] = resolved) -> tuple:
+    """A row of SCHEMA; the policy is asked of the URL and of every redirect, with the addresses their hosts resolve to: 200 with content, 304 for an unchanged tag, 404; any other failure has its error and, if there was one, its status."""
     try:
-        options.policy.check(url)
+        options.policy.admit(url, resolve)
     except (AccessDenied, ValueError):
         return (url, None, None, None, None, None, None, "access denied")
     headers = {"User-Agent": options.agent} | ({"If-None-Match": etag} if etag else {})
+    opener = urllib.request.build_opener(_Checked(options.policy, resolve))
     status, error = None, None
     for attempt in range(options.retries + 1):
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=options.timeout) as r:
+            with opener.open(urllib.request.Request(url, headers=headers), timeout=options.timeout) as r:
                 h = r.headers
                 return (url, r.status, r.url, h.get("ETag"), h.get("Last-Modified"), h.get("Content-Type"), r.read(), None)
+        except AccessDenied:
+            return (url, None, None, None, None, None, None, "access denied")
         except urllib.error.HTTPError as e:
             status, error = e.code, str(e.reason)
             if e.code in (304, 404):
@@ -63,8 +77,9 @@ def fetch_pages(frontier: DataFrame, options: FetchOptions = FetchOptions(), par
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in it:
-            for u, e in zip(pdf["url"], pdf["etag"], strict=True):
-                yield pd.DataFrame([fetch(u, e, options)], columns=columns).astype({"status": "Int32"})
+            for lo in range(0, len(pdf), 64):  # a few dozen pages are held at a time
+                part = pdf.iloc[lo : lo + 64]
+                yield pd.DataFrame([fetch(u, e, options) for u, e in zip(part["url"], part["etag"], strict=True)], columns=columns).astype({"status": "Int32"})
 
     rows = frontier.where("url is not null").groupBy("url").agg(F.max("etag").alias("etag"))
     return rows.repartition(parallel, "url").mapInPandas(run, SCHEMA)

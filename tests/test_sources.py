@@ -13,6 +13,7 @@ from strataforge import config
 from strataforge.functions import documents
 from strataforge.operators import embedding, manifest, pipeline
 from strataforge.sources import web
+from strataforge import session
 from strataforge.sources.access import AccessDenied, AccessPolicy
 from strataforge.streaming import events
 
@@ -82,6 +83,21 @@ def test_access():
             p.check(url)
 
 
+def test_access_of_names():
+    with pytest.raises(AccessDenied):
+        AccessPolicy().admit("https://inner.example/", lambda h: ("10.0.0.7",))
+    with pytest.raises(AccessDenied):
+        AccessPolicy().admit("https://unknown.example/", lambda h: ())
+    AccessPolicy().admit("https://public.example/", lambda h: ("8.8.8.8", "2001:4860:4860::8888"))
+
+
+def test_checkpoint_folder():
+    assert session.checkpoint_folder("file:///shared", "spark://h:7077") == "file:///shared" and session.checkpoint_folder(None, "local[8]")
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            session.checkpoint_folder(None, master)
+
+
 def test_settings(tmp_path):
     f = tmp_path / "s.json"
     f.write_text('{"max_pages": 5, "chunk_max": 9}')
@@ -118,6 +134,11 @@ class Handler(http.server.BaseHTTPRequestHandler):
         code = {"/ok": 200, "/gone": 404, "/flaky": 503 if n < 3 else 200, "/bad": 500, "/no": 403}.get(self.path, 404)
         if self.headers.get("If-None-Match") == '"t"':
             code = 304
+        if self.path == "/away":
+            self.send_response(302)
+            self.send_header("Location", "http://localhost:9/secret" if n % 2 else "/ok")
+            self.end_headers()
+            return
         self.send_response(code)
         self.send_header("ETag", '"t"')
         self.send_header("Content-Type", "text/plain")
@@ -144,6 +165,10 @@ def test_fetch(spark, server):
     assert get("/flaky")[1] == 200 and get("/bad")[1] == 500 and get("/bad")[7] and get("/no")[1] == 403
     assert Handler.tries["/no"] == 1 and Handler.tries["/bad"] == 8
     assert web.fetch(server + "/ok")[7] == "access denied"
+    # The first redirect leads to a host the policy does not admit, the second to one it does.
+    narrow = web.FetchOptions(base_delay=0, policy=AccessPolicy(networks=("127.0.0.1/32",)))
+    away = [web.fetch(server + "/away", None, narrow, sleep=lambda s: None, resolve=lambda h: ("127.0.0.1",) if h == "127.0.0.1" else ("10.0.0.1",)) for _ in range(2)]
+    assert away[0][7] == "access denied" and away[0][6] is None and away[1][1] == 200 and away[1][6] == b"hello"
     web.register(spark)
     df = spark.read.format("webpages").option("urls", json.dumps([server + "/ok", server + "/gone", server + "/ok"])).option("private", "true").option("partitions", "2").load()
     assert sorted(r.status for r in df.collect()) == [200, 404]
