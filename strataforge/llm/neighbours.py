@@ -31,7 +31,7 @@ class CurveParams:
     curves: int = 18
     dims: int = 10
     bits: int = 6
-    fit_rows: int = 50_000  # rows, chosen by hash, from which the quantiles of the projections are taken; every row is indexed
+    fit_rows: int = 10_000  # rows, chosen by hash, from which the quantiles of the projections are taken; every row is indexed
     window: int = 2048
     block: int = 12  # fine buckets a task takes together
     least: float = -1.0  # neighbours less similar than this are not wanted
