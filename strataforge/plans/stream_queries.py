@@ -40,6 +40,18 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return stream.sessions(batch_events(spark, d)).select("user_id", stamp("w.start").alias("start"), "n")
 
 
+@query("""select strftime(s, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n
+from (select unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) as s, event_type from events) group by 1, 2""")
+def event_counts_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return stream.sliding_counts(batch_events(spark, d)).select(stamp("w.start").alias("start"), "event_type", "n")
+
+
+@query("select user_id, count(distinct event_type) as types, count(*) as n from events where user_id is not null group by user_id")
+def user_types_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """State of each user kept by the stream itself."""
+    return stream.drain(stream.user_types(stream.read_events(spark, f"{d}/events.parquet")), ["user_id"])
+
+
 LATEST_SQL = "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, count(*) as n from events group by user_id"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -14,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import urls
+from ..functions import documents, urls
+from ..operators import pipeline
+from ..session import cut_lineage
+from . import files
 from .access import AccessDenied, AccessPolicy, resolved
 
 #: Answers that are worth another try.
@@ -71,6 +75,28 @@ def fetch(url: str, etag: str | None = None, options: FetchOptions = FetchOption
     return (url, status, None, None, None, None, None, error)
 
 
+def fetched_documents(frontier: DataFrame, options: FetchOptions = FetchOptions(), parallel: int = 32) -> DataFrame:
+    """(url, status, error, title, text, links, chunks, errors) of `frontier` (url, etag): each URL fetched, decoded and taken through the pipeline of its media type.
+
+    Office documents and notebooks become Markdown first. A page that did not come or that no pipeline takes has nulls from `title` on.
+    """
+    pages = cut_lineage(fetch_pages(frontier, options, parallel))  # a page is fetched once, whatever reads it
+    told, charset = urls.content_type(F.col("content_type"))
+    name = F.coalesce("final_url", "url")
+    mime = F.when(told.isin("application/octet-stream", "text/plain"), F.coalesce(urls.mime_from_path(name), told)).otherwise(told)
+
+    @F.pandas_udf("string")
+    def text_of(content: pd.Series, header: pd.Series, kind: pd.Series, url: pd.Series) -> pd.Series:
+        out = []
+        for c, h, k, u in zip(content, header, kind, url, strict=True):
+            out.append(documents.to_markdown(re.sub(r"[?#].*", "", u), bytes(c)) if k == "document" else files.decode(bytes(c), h))
+        return pd.Series(out, dtype=object)
+
+    got = pages.where("content is not null").select("url", name.alias("at"), mime.alias("mime"), charset.alias("charset"), urls.pipeline(mime).alias("kind"), "content")
+    read = got.select("url", "at", F.when(F.col("kind") == "document", "text/markdown").otherwise(F.col("mime")).alias("mime"), text_of("content", "charset", "kind", "at").alias("text"))
+    return pages.select("url", "status", "error").join(pipeline.processed(read, "url", "at", "mime", "text").withColumnRenamed("item_id", "url"), "url", "left")
+
+
 def fetch_pages(frontier: DataFrame, options: FetchOptions = FetchOptions(), parallel: int = 32) -> DataFrame:
     """Fetch `frontier` (url, etag): each URL once, spread over `parallel` tasks, which is how many requests run at a time."""
 

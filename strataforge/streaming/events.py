@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import cut_lineage
 
@@ -34,6 +37,29 @@ def sliding_users(events: DataFrame, width: str = "2 hours", step: str = "1 hour
     return events.withWatermark("at", late).groupBy(F.window("at", width, step).alias("w")).agg(F.approx_count_distinct("user_id").alias("users"), F.count("*").alias("n"))
 
 
+def sliding_counts(events: DataFrame, width: str = "2 hours", step: str = "1 hour", late: str = "1 day") -> DataFrame:
+    return events.withWatermark("at", late).groupBy(F.window("at", width, step).alias("w"), "event_type").agg(F.count("*").alias("n"))
+
+
+def user_types(events: DataFrame) -> DataFrame:
+    """(user_id, types, n): kinds and number of each user's events so far, kept as state of the user; a row each time it changes.
+
+    A user's events come in pieces and in any order, of which only the kinds are held.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, n = state.get if state.exists else ([], 0)
+        kinds = set(seen)
+        for pdf in parts:
+            kinds.update(pdf["event_type"].dropna())
+            n += len(pdf)
+        state.update((sorted(kinds), n))
+        yield pd.DataFrame({"user_id": [key[0]], "types": [len(kinds)], "n": [n]})
+
+    rows = events.select("user_id", "event_type").where("user_id is not null")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, types bigint, n bigint", "kinds array<string>, n bigint", "update", GroupStateTimeout.NoTimeout)
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Runs of a user's events with less than `gap` between them."""
     return events.withWatermark("at", late).groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))

@@ -126,12 +126,18 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
     assert sum(r.n for r in slid.collect()) == 24
 
 
+PAGES = {
+    "/page": ("text/html; charset=latin-1", "<html><body><h1>Über</h1><p>Some <b>text</b> of it.</p><a href='/ok'>next</a></body></html>".encode("latin-1")),
+    "/book.ipynb": ("application/octet-stream", json.dumps({"cells": [{"cell_type": "markdown", "source": ["# Notes\n", "Read on."]}], "metadata": {}}).encode()),
+}
+
+
 class Handler(http.server.BaseHTTPRequestHandler):
     tries: dict[str, int] = {}
 
     def do_GET(self):
         n = self.tries[self.path] = self.tries.get(self.path, 0) + 1
-        code = {"/ok": 200, "/gone": 404, "/flaky": 503 if n < 3 else 200, "/bad": 500, "/no": 403}.get(self.path, 404)
+        code = {"/ok": 200, "/gone": 404, "/flaky": 503 if n < 3 else 200, "/bad": 500, "/no": 403, **dict.fromkeys(PAGES, 200)}.get(self.path, 404)
         if self.headers.get("If-None-Match") == '"t"':
             code = 304
         if self.path == "/away":
@@ -141,10 +147,11 @@ class Handler(http.server.BaseHTTPRequestHandler):
             return
         self.send_response(code)
         self.send_header("ETag", '"t"')
-        self.send_header("Content-Type", "text/plain")
+        kind, body = PAGES.get(self.path, ("text/plain", b"hello"))
+        self.send_header("Content-Type", kind)
         self.end_headers()
         if code == 200:
-            self.wfile.write(b"hello")
+            self.wfile.write(body)
 
     def log_message(self, *args):
         pass
@@ -176,6 +183,14 @@ def test_fetch(spark, server):
     assert [r.status for r in web.fetch_pages(front, open_, 2).collect()] == [304]
 
 
+def test_fetched_documents(spark, server):
+    front = spark.createDataFrame([(server + p, None) for p in ("/page", "/book.ipynb", "/gone", "/ok")], "url string, etag string")
+    got = {r.url[len(server) :]: r for r in web.fetched_documents(front, web.FetchOptions(base_delay=0, policy=AccessPolicy(private=True)), 2).collect()}
+    assert len(got) == 4 and got["/gone"].status == 404 and got["/gone"].text is None and got["/ok"].text == "hello"
+    assert "Über" in got["/page"].text and "**text**" in got["/page"].text and got["/page"].links == [server + "/ok"] and got["/page"].chunks
+    assert got["/book.ipynb"].title == "Notes" and "Read on." in got["/book.ipynb"].text
+
+
 def test_source_kinds_and_trees(spark):
     df = spark.createDataFrame([("file:///a",), ("https://www.npmjs.com/x",), ("https://pypi.org/p",), ("https://github.com/o/r",), ("http://h.example/",), ("ftp://h/",), (None,)], "u string")
     assert [r[0] for r in df.select(web.source_kind(F.col("u"))).collect()] == ["file", "npm", "pypi", "repository", "web", None, None]
