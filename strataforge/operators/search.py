@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fulltext import tokens
+from ..session import cut_lineage
 
 #: Column weights of the full-text index and the constants of its ranking.
 WEIGHTS = {"content": 10.0, "title": 1.0, "url": 5.0, "path": 1.0}
@@ -79,22 +80,21 @@ def top(scored: DataFrame, by: str, k: int, key: str, ascending: bool = False) -
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
 
 
-def knn(rows: DataFrame, queries: DataFrame, key: str, k: int, group: str | None = None, block: int = 2048) -> DataFrame:
+def knn(rows: DataFrame, queries: DataFrame, key: str, k: int, group: str | None = None, block: int = 2048, sent_queries: int = 32_768) -> DataFrame:
     """(query_id, key, distance): the k nearest rows by L2 distance for each query vector, exact.
 
-    rows: key, e (array<double>) and `group`; queries: query_id, e and `group` (only rows of the same group compete then). Queries are sent to
-    the tasks in blocks of `block`, so a block's matrix is bounded; each batch of rows keeps k for each query, then the batches' best are
-    merged. Vectors of another length than the query's never match. Ties go to the smaller key.
+    rows: key, e (array<double>) and `group`; queries: query_id, e and `group` (only rows of the same group compete then). One scan of the rows serves
+    `sent_queries` query vectors; they are met in blocks of `block`, so a matrix is bounded, and a partition keeps its k best of each query before anything is
+    shuffled. Vectors of another length than the query's never match. Ties go to the smaller key.
     """
     spark = rows.sparkSession
     kind, qkind = dict(rows.dtypes)[key], dict(queries.dtypes)["query_id"]
     columns = ["query_id", "e"] + ([group] if group else [])
-    ranked = queries.select(*columns).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)))
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    ranked = cut_lineage(queries.select(*columns).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(1_000_000))))
+    parts = max(1, -(-ranked.count() // sent_queries))
     out: DataFrame | None = None
     for b in range(parts):
-        mine = ranked.where(F.col("block") % parts == b).drop("block").toPandas()  # about `block` vectors
+        mine = ranked.where(F.col("part") % parts == b).drop("part").toPandas()  # about `sent_queries` vectors
         if not len(mine):
             continue
         sent = spark.sparkContext.broadcast((mine["query_id"].to_numpy(), np.array(mine["e"].tolist(), np.float64), mine[group].to_numpy() if group else None))
@@ -102,6 +102,7 @@ def knn(rows: DataFrame, queries: DataFrame, key: str, k: int, group: str | None
         def near(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q, g = sent.value
             q2 = (q * q).sum(axis=1)
+            held: list[tuple[np.ndarray, ...]] = []
             for pdf in it:
                 pdf = pdf[pdf["e"].map(len) == q.shape[1]]
                 if not len(pdf):
@@ -109,15 +110,21 @@ def knn(rows: DataFrame, queries: DataFrame, key: str, k: int, group: str | None
                 for value in np.unique(pdf[group].to_numpy()) if group else [None]:
                     own = pdf if group is None else pdf[pdf[group] == value]
                     at = np.arange(len(ids)) if group is None else np.nonzero(g == value)[0]
-                    if not len(at):
-                        continue
-                    x = np.array(own["e"].tolist(), np.float64)
-                    d2 = q2[at][:, None] + (x * x).sum(axis=1)[None, :] - 2 * q[at] @ x.T
-                    m = min(k + 8, d2.shape[1])  # some more than k: rounding may reorder near ties, which exact distances settle
-                    best = np.argpartition(d2, m - 1, axis=1)[:, :m]
-                    row = np.repeat(np.arange(len(at)), m)
-                    exact = np.sqrt(((q[at][row] - x[best.ravel()]) ** 2).sum(axis=1))
-                    yield pd.DataFrame({"query_id": ids[at][row], key: own[key].to_numpy()[best.ravel()], "distance": np.round(exact, 9)})
+                    x, names = np.array(own["e"].tolist(), np.float64), own[key].to_numpy()
+                    x2 = (x * x).sum(axis=1)
+                    for lo in range(0, len(at), block):
+                        some = at[lo : lo + block]
+                        d2 = q2[some][:, None] + x2[None, :] - 2 * q[some] @ x.T
+                        m = min(k + 8, d2.shape[1])  # some more than k: rounding may reorder near ties, which exact distances settle
+                        best = np.argpartition(d2, m - 1, axis=1)[:, :m].ravel()
+                        row = np.repeat(some, m)
+                        exact = np.concatenate([np.sqrt(((q[row[i : i + 65_536]] - x[best[i : i + 65_536]]) ** 2).sum(axis=1)) for i in range(0, len(row), 65_536)])
+                        held.append((row, names[best], np.round(exact, 9)))
+                if sum(len(h[0]) for h in held) > 8 * k * len(ids):
+                    held = [_least(held, k)]
+            if held:
+                row, names, far = _least(held, k)
+                yield pd.DataFrame({"query_id": ids[row], key: names, "distance": far})
 
         part = rows.mapInPandas(near, f"query_id {qkind}, {key} {kind}, distance double")
         out = part if out is None else out.unionByName(part)
@@ -126,6 +133,15 @@ def knn(rows: DataFrame, queries: DataFrame, key: str, k: int, group: str | None
     return top(out, "distance", k, key, ascending=True)
 
 
+def _least(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k entries of each query with the least distance, ties by the smaller key."""
+    row, names, far = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((names, far, row))
+    row, names, far = row[order], names[order], far[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], names[kept], far[kept]
+
+
 def ranked(arm: DataFrame, by: str, key: str, name: str, ascending: bool = False) -> DataFrame:
     order = F.asc(by) if ascending else F.desc(by)
     return arm.select("query_id", key, F.row_number().over(Window.partitionBy("query_id").orderBy(order, key)).alias(name))
