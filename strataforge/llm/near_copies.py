@@ -28,6 +28,10 @@ from ..session import cut_lineage
 from .words import Hasher, mix, split_words
 
 
+#: Words whose shingles are hashed together; their arrays stay in a core's cache.
+SHINGLED_WORDS = 1 << 15
+
+
 @dataclass(frozen=True)
 class CopyParams:
     """Words a shingle, least Jaccard similarity, least words a text; the rest sets recall against work."""
@@ -112,14 +116,43 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _shingles(texts: list[str], hasher: Hasher, p: CopyParams) -> list[np.ndarray | None]:
-    """The shingle set of each text; None for those with too few words."""
-    out: list[np.ndarray | None] = []
-    for t in texts:
+    """The shingle set of each text; None for those with too few words. Runs are hashed for many texts at once."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    some: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for i, t in enumerate(texts):
         words = split_words(t, fold=False)
-        out.append(shingle_set(hasher(words), p.shingle) if len(words) >= p.least_words else None)
+        if len(words) < p.least_words:
+            continue
+        if len(words) < p.shingle:
+            out[i] = shingle_set(hasher(words), p.shingle)
+            continue
+        some.append((i, hasher(words)))
+        held += len(words)
+        if held > SHINGLED_WORDS:
+            _shingle_sets(some, p.shingle, out)
+            some, held = [], 0
+    _shingle_sets(some, p.shingle, out)
     return out
 
 
+def _shingle_sets(some: list[tuple[int, np.ndarray]], n: int, out: list[np.ndarray | None]) -> None:
+    """Put the `shingle_set` of every (place, words) into its place; none has less than n words."""
+    if not some:
+        return
+    words = np.concatenate([w for _, w in some])
+    runs = _fold([words[i : len(words) - n + 1 + i] for i in range(n)])
+    ends = np.cumsum([len(w) for _, w in some])
+    starts = ends - [len(w) for _, w in some]
+    fresh = np.ones(len(runs), bool)
+    for lo, hi in zip(starts, ends - n + 1, strict=True):
+        runs[lo:hi].sort()
+    fresh[1:] = runs[1:] != runs[:-1]
+    fresh[starts] = True
+    for (i, _), lo, hi in zip(some, starts, ends - n + 1, strict=True):
+        out[i] = runs[lo:hi][fresh[lo:hi]]
+
+
 def _emit_cells(it: Iterator[pd.DataFrame], parts: int, p: CopyParams) -> Iterator[pd.DataFrame]:
     """A record for each batch and part: codes of its texts, and of each entry the text's number (with the home flag) and 48 bits of the cell."""
     hasher = Hasher()

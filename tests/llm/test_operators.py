@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataforge.llm import boilerplate, language, leakage, lines, messages, near_copies, neighbours, packing, page_identity, pieces, queries, residue
+from strataforge.llm import boilerplate, language, leakage, lines, messages, near_copies, neighbours, packing, page_identity, pieces, queries, residue, words
 from tests.oracle import compare
 
 
@@ -311,6 +311,19 @@ def test_near_copies_equal_brute_force(spark, shingle, similarity, hot):
     assert near_copies.near_copies(df.limit(0), "k", "body", p)[1].count() == 0
 
 
+def test_shingles_of_many_texts_are_hashed_together(monkeypatch):
+    rng, p = random.Random(4), near_copies.CopyParams(shingle=3, least_words=2)
+    texts = [" ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(40))) for _ in range(500)] + ["", None, "One two", "a " * 70_000]
+    hasher = words.Hasher()
+    cut = [words.split_words(t, fold=False) for t in texts]
+    want = [near_copies.shingle_set(hasher(w), 3).tolist() if len(w) >= 2 else None for w in cut]
+    folded, fold = [], near_copies._fold
+    monkeypatch.setattr(near_copies, "_fold", lambda columns: folded.append(len(columns[0])) or fold(columns))
+    got = near_copies._shingles(texts, hasher, p)
+    assert [None if s is None else s.tolist() for s in got] == want
+    assert len(folded) <= 2 + sum(len(w) == 2 for w in cut) < 100
+
+
 def test_near_copies_of_few_shingles(spark):
     texts = ["word " * 25, "Word, " * 20, "one two " * 12, "One two! " * 11, "a b c " * 8, "a b c " * 8 + "d", "A b c " * 9, "x y z " * 8 + "q r", "x y z " * 8 + "q s"]
     df = spark.createDataFrame(list(enumerate(texts)), "k bigint, body string")
